@@ -1,0 +1 @@
+"""Nothing here: the work this library covers is batch only (see README)."""
