@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from chronolith.functions.calendar import cyclical
@@ -136,7 +136,7 @@ def solve_gram(g: np.ndarray, keep: list[int], ridge: float = 0.0) -> np.ndarray
 
 
 def _solver(width: int):
-    @pandas_udf("array<double>")
+    @pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(cells: pd.Series, keep: pd.Series, ridge: pd.Series) -> pd.Series:
         return pd.Series([solve_gram(_square(c, width), [int(i) for i in k], r)
                           for c, k, r in zip(cells, keep, ridge)])

@@ -11,13 +11,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from chronolith.operators.grid import (
-    Grid, over_spans, span_arrays, span_length, spread_spans, with_carry, with_position)
+from chronolith.functions.columns import floor_div
+from chronolith.operators.grid import SPAN, Grid, over_spans, span_arrays, with_carry, with_position
 from chronolith.operators.windows import _between, _running_stage
 
+VECTOR = T.ArrayType(T.DoubleType())
+
 
 def seasonal_decompose(df: DataFrame, grid: Grid, value: str = "y", period: int = 168) -> DataFrame:
     """Additive decomposition by centered average and phase means; edges are NULL.
@@ -50,18 +52,28 @@ def seasonal_decompose(df: DataFrame, grid: Grid, value: str = "y", period: int
 # --- autocovariance -------------------------------------------------------------
 
 def centered(df: DataFrame, grid: Grid, value: str = "y") -> DataFrame:
-    """Non-null rows with their position and their distance from the series mean.
+    """Non-null rows with their position (_pos) and their distance from the series mean (_d).
 
-    Adds _d, _pos and _n (rows in the series).
+    Row counts and sums per time chunk give both the offset of a chunk and the
+    mean of its series, so one small table serves both.
     """
-    present = df.where(F.col(value).isNotNull())
-    stats = present.groupBy(*grid.by).agg(F.avg(value).alias("_mean"), F.count("*").alias("_n"))
-    return (with_position(present, grid, "_pos").join(stats, list(grid.by))
-            .withColumn("_d", F.col(value) - F.col("_mean")).drop("_mean"))
+    by = list(grid.by)
+    chunked = (df.where(F.col(value).isNotNull())
+               .withColumn("_chunk", floor_div(grid.step_index(), SPAN)))
+    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = (chunked.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"), F.sum(value).alias("_sum"))
+              .select(*by, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+                      (F.sum("_sum").over(whole) / F.sum("_n").over(whole)).alias("_mean")))
+    inside = Window.partitionBy(*by, "_chunk").orderBy(grid.ts)
+    return (chunked.withColumn("_rn", F.row_number().over(inside)).join(chunks, [*by, "_chunk"])
+            .withColumn("_pos", F.col("_offset") + F.col("_rn") - 1)
+            .withColumn("_d", F.col(value) - F.col("_mean"))
+            .drop("_chunk", "_rn", "_offset", "_mean"))
 
 
 def _lagged_products(max_lag: int):
-    @pandas_udf("array<double>")
+    @pandas_udf(VECTOR)
     def products(values: pd.Series, own: pd.Series) -> pd.Series:
         out = []
         for x, o in zip(values, own):
@@ -81,13 +93,11 @@ def autocovariance(df: DataFrame, grid: Grid, value: str = "y", max_lag: int = 4
 
     One shuffle of the data; each row travels to at most one extra span.
     """
-    data = centered(df, grid, value)
-    sizes = data.groupBy(*grid.by).agg(F.max("_n").alias("n"))
-    arrays = span_arrays(data, grid, "_d", max_lag, position="_pos")
-    partial = arrays.select(*grid.by, F.posexplode(
+    arrays = span_arrays(centered(df, grid, value), grid, "_d", max_lag, position="_pos")
+    partial = arrays.select(*grid.by, "n_own", F.posexplode(
         _lagged_products(max_lag)("values", "own")).alias("lag", "_s"))
-    return (partial.groupBy(*grid.by, "lag").agg(F.sum("_s").alias("_s"))
-            .join(sizes, list(grid.by)).where("lag < n")
+    return (partial.groupBy(*grid.by, "lag").agg(F.sum("_s").alias("_s"), F.sum("n_own").alias("n"))
+            .where("lag < n")
             .select(*grid.by, "lag", (F.col("_s") / F.col("n")).alias("gamma"), "n"))
 
 
@@ -113,7 +123,7 @@ def acf(df: DataFrame, grid: Grid, value: str = "y", max_lag: int = 48) -> DataF
             .select(*grid.by, "lag", "acf", "band"))
 
 
-@pandas_udf("array<double>")
+@pandas_udf(VECTOR)
 def _levinson(rho: pd.Series) -> pd.Series:
     """Partial autocorrelations from autocorrelations 0..K of each series."""
     out = []
@@ -181,7 +191,7 @@ def _adf_rows(x: np.ndarray, lags: int) -> np.ndarray:
 
 
 def _adf_grams(max_lag: int):
-    @pandas_udf("array<double>")
+    @pandas_udf(VECTOR)
     def grams(values: pd.Series, own: pd.Series) -> pd.Series:
         out = []
         for x, o in zip(values, own):
@@ -201,59 +211,46 @@ def _ols(gram: np.ndarray, k: int):
     return beta, max(yy - b @ beta, 0.0), inv
 
 
+ADF_RESULT = T.StructType([
+    T.StructField("adf_stat", T.DoubleType()), T.StructField("p_value", T.DoubleType()),
+    T.StructField("used_lag", T.IntegerType()), T.StructField("n_obs", T.LongType()),
+    *[T.StructField(c, T.DoubleType()) for c in TAU_CRITICAL]])
+
+
+def _adf_one(g: np.ndarray, head: np.ndarray, max_lag: int):
+    """Test of one series from its summed cross products and its first values."""
+    n = g[0, 0]
+    if n <= max_lag + 2 or g[-1, -1] <= 0.0:
+        return [None] * 7
+    best = (math.inf, 0)
+    for lag in range(max_lag + 1):
+        _, ssr, _ = _ols(g, lag + 2)
+        aic = n * (math.log(2 * math.pi) + math.log(max(ssr, 1e-300) / n) + 1) + 2 * (lag + 2)
+        best = min(best, (aic, lag))
+    lag = best[1]
+    # The refit also uses the early rows that only longer lags had to skip.
+    keep = [*range(lag + 2), max_lag + 2]
+    early = _adf_rows(head, lag)
+    final = g[np.ix_(keep, keep)] + early.T @ early
+    beta, ssr, inv = _ols(final, lag + 2)
+    n_obs = final[0, 0]
+    se = math.sqrt(ssr / (n_obs - lag - 2) * inv[1, 1])
+    tau = beta[1] / se if se > 0 else None
+    crit = [sum(c / n_obs ** i for i, c in enumerate(TAU_CRITICAL[q])) for q in TAU_CRITICAL]
+    return [tau, None if tau is None else _adf_p(tau), lag, int(n_obs), *crit]
+
+
 def _adf_solve(max_lag: int):
-    @pandas_udf("adf_stat double, p_value double, used_lag int, n_obs long, "
-                "crit_1 double, crit_5 double, crit_10 double")
-    def solve(gram: pd.Series, head: pd.Series) -> pd.DataFrame:
+    @pandas_udf(ADF_RESULT)
+    def solve(grams: pd.Series, head: pd.Series) -> pd.DataFrame:
         width = max_lag + 3
-        rows = []
-        for g, h in zip(gram, head):
-            g = np.asarray(g, dtype=float).reshape(width, width)
-            n = g[0, 0]
-            yy = g[-1, -1]
-            if n <= max_lag + 2 or yy <= 0.0:
-                rows.append([None] * 7)
-                continue
-            best = (math.inf, 0)
-            for lag in range(max_lag + 1):
-                _, ssr, _ = _ols(g, lag + 2)
-                aic = n * (math.log(2 * math.pi) + math.log(max(ssr, 1e-300) / n) + 1) + 2 * (lag + 2)
-                best = min(best, (aic, lag))
-            lag = best[1]
-            # The refit also uses the early rows that only longer lags had to skip.
-            keep = list(range(lag + 2)) + [width - 1]
-            final = g[np.ix_(keep, keep)].copy()
-            early = _adf_rows(np.asarray(h, dtype=float), lag)
-            final += early.T @ early
-            beta, ssr, inv = _ols(final, lag + 2)
-            n_obs = final[0, 0]
-            se = math.sqrt(ssr / (n_obs - lag - 2) * inv[1, 1])
-            tau = beta[1] / se if se > 0 else None
-            crit = [sum(c / n_obs ** i for i, c in enumerate(TAU_CRITICAL[q])) for q in TAU_CRITICAL]
-            rows.append([tau, None if tau is None else _adf_p(tau), lag, int(n_obs), *crit])
+        rows = [_adf_one(np.sum([np.asarray(g, dtype=float) for g in gs], axis=0).reshape(width, width),
+                         np.asarray(h, dtype=float), max_lag) for gs, h in zip(grams, head)]
         return pd.DataFrame(rows, columns=["adf_stat", "p_value", "used_lag", "n_obs", *TAU_CRITICAL]
                             ).astype({"used_lag": "Int32", "n_obs": "Int64"})
     return solve
 
 
-def adf_test(df: DataFrame, grid: Grid, value: str = "y", max_lag: int = 48) -> DataFrame:
-    """Unit-root test with a constant, lag order chosen by AIC up to ``max_lag``.
-
-    Every span contributes the cross-product matrix of its regression rows; the
-    nested fits of all lag orders are leading blocks of the summed matrix.
-    """
-    data = centered(df, grid, value)
-    length = span_length(max_lag + 1, 0)
-    arrays = span_arrays(data, grid, "_d", max_lag + 1, span=length, position="_pos")
-    cells = arrays.select(*grid.by, F.posexplode(_adf_grams(max_lag)("values", "own")).alias("i", "v"))
-    gram = _as_vector(cells.groupBy(*grid.by, "i").agg(F.sum("v").alias("v")), grid.by, "i", "v", "_gram")
-    # The common sample starts at position max_lag + 1; the refit adds positions up to max_lag.
-    head = _as_vector(data.where(F.col("_pos") <= max_lag), grid.by, "_pos", "_d", "_head")
-    return (gram.join(head, list(grid.by))
-            .select(*grid.by, _adf_solve(max_lag)("_gram", "_head").alias("r"))
-            .select(*grid.by, "r.*"))
-
-
 # --- KPSS -----------------------------------------------------------------------
 
 # KPSS level critical values and their p-values.
@@ -270,61 +267,104 @@ def kpss_p_value(stat: Column) -> Column:
     return p.when(stat.isNotNull(), F.lit(KPSS_P[3]))
 
 
-def cumulative_square(df: DataFrame, grid: Grid) -> DataFrame:
-    """(series, eta): mean square of the running sum of _d, divided by n once more.
+def _running_moments():
+    @pandas_udf(VECTOR)
+    def moments(values: pd.Series, own: pd.Series) -> pd.Series:
+        """Total of a span and first two moments of its running sum."""
+        out = []
+        for x, o in zip(values, own):
+            run = np.cumsum(np.asarray(x, dtype=float)[o:])
+            out.append([run[-1], run.sum(), run @ run])
+        return pd.Series(out)
+    return moments
 
-    A span gives its sum and the first two moments of its inner running sum; the
-    running total before the span enters in closed form.
-    """
-    spread = spread_spans(df, grid, 0, 0, position="_pos")
-    inside = (Window.partitionBy(*grid.by, "_span").orderBy("_step")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    parts = (spread.withColumn("_run", F.sum("_d").over(inside))
-             .groupBy(*grid.by, "_span")
-             .agg(F.sum("_d").alias("_tot"), F.sum("_run").alias("_r1"),
-                  F.sum(F.col("_run") ** 2).alias("_r2"), F.count("*").alias("_c"), F.max("_n").alias("_n")))
-    carried = with_carry(parts, grid, lambda before, after: {
-        "_base": F.coalesce(F.sum("_tot").over(before), F.lit(0.0))})
-    b, c = F.col("_base"), F.col("_c")
-    return (carried.groupBy(*grid.by)
-            .agg((F.sum(c * b * b + 2.0 * b * F.col("_r1") + F.col("_r2"))
-                  / F.max(F.col("_n").cast("double")) ** 2).alias("eta"), F.max("_n").alias("n")))
 
+def span_tests(df: DataFrame, grid: Grid, value: str, adf_lag: int | None = None,
+               kpss_lag: int | None = None, bandwidth: DataFrame | None = None) -> DataFrame:
+    """Both tests from one pass: (series, adf struct, kpss_stat, lags).
 
-def kpss_test(df: DataFrame, grid: Grid, value: str = "y", n_lags: int | str = 72) -> DataFrame:
-    """Level-stationarity test; ``n_lags`` is a number or "auto" (Hobijn et al.)."""
-    data = centered(df, grid, value)
-    eta = cumulative_square(data, grid)
+    A span reports its regression cross products (ADF), its lagged products and
+    the moments of its inner running sum (KPSS).  The running total before a span
+    enters the sum of squared partial sums in closed form.  What is collected per
+    series is one entry per span, bounded by the calendar.
+    """
     by = list(grid.by)
+    back = max((adf_lag or 0) + 1, kpss_lag or 0)
+    arrays = span_arrays(centered(df, grid, value), grid, "_d", back, position="_pos")
+    cells = {}
+    if adf_lag is not None:
+        cells["_gram"] = _adf_grams(adf_lag)("values", "own")
+        # The common sample starts at position adf_lag + 1; a refit may start earlier.
+        cells["_head"] = F.when(F.col("first") == 0, F.slice("values", 1, adf_lag + 1))
+    if kpss_lag is not None:
+        cells["_prod"] = _lagged_products(kpss_lag)("values", "own")
+        cells["_run"] = _running_moments()("values", "own")
+    spans = arrays.select(*by, "_span", "n_own", *[c.alias(n) for n, c in cells.items()])
+    if bandwidth is not None:
+        spans = spans.join(bandwidth, by)
+    elif kpss_lag is not None:
+        spans = spans.withColumn("lags", F.lit(kpss_lag))
+    aggs = [F.sum("n_own").cast("double").alias("_n")]
+    out = []
+    if adf_lag is not None:
+        aggs += [F.collect_list("_gram").alias("_grams"), F.any_value("_head", ignoreNulls=True).alias("_head")]
+        out.append(_adf_solve(adf_lag)("_grams", "_head").alias("adf"))
+    if kpss_lag is not None:
+        spans = with_carry(spans, grid, lambda before, after: {
+            "_base": F.coalesce(F.sum(F.col("_run")[0]).over(before), F.lit(0.0))})
+        b, run, lags = F.col("_base"), F.col("_run"), F.col("lags")
+        # Bartlett weights: 1 at lag 0, twice a falling weight up to the bandwidth.
+        weight = F.transform("_prod", lambda p, k: F.when(k == 0, p).when(
+            k <= lags, 2.0 * p * (1.0 - k / (lags + 1.0))).otherwise(0.0))
+        aggs += [F.sum(F.col("n_own") * b * b + 2.0 * b * run[1] + run[2]).alias("_eta"),
+                 F.sum(F.aggregate(weight, F.lit(0.0), lambda a, x: a + x)).alias("_lrv"),
+                 F.max("lags").alias("lags")]
+        # eta = sum(S^2) / n^2 and the long-run variance is _lrv / n.
+        out += [F.try_divide(F.col("_eta"), F.col("_n") * F.col("_lrv")).alias("kpss_stat"), F.col("lags")]
+    return spans.groupBy(*by).agg(*aggs).select(*by, *out)
+
+
+def adf_test(df: DataFrame, grid: Grid, value: str = "y", max_lag: int = 48) -> DataFrame:
+    """Unit-root test with a constant, lag order chosen by AIC up to ``max_lag``.
+
+    Every span contributes the cross-product matrix of its regression rows; the
+    nested fits of all lag orders are leading blocks of the summed matrix.
+    """
+    return span_tests(df, grid, value, adf_lag=max_lag).select(*grid.by, "adf.*")
+
+
+def _auto_bandwidth(df: DataFrame, grid: Grid, value: str) -> DataFrame:
+    """(series, lags) by the data-driven rule of Hobijn et al., from n^(2/9) autocovariances.
+
+    64 short lags serve series of up to 10^8 rows.
+    """
     n = F.col("n").cast("double")
+    gamma = autocovariance(df, grid, value, 64)
+    cut = F.floor(F.pow(n, F.lit(2.0 / 9.0)) + F.lit(1e-12))
+    inner = F.when((F.col("lag") >= 1) & (F.col("lag") <= cut), F.col("gamma"))
+    zero = F.lit(0.0)
+    rule = (gamma.groupBy(*grid.by)
+            .agg((F.max(F.when(F.col("lag") == 0, F.col("gamma")))
+                  + 2.0 * F.coalesce(F.sum(inner), zero)).alias("_s0"),
+                 (2.0 * F.coalesce(F.sum(inner * F.col("lag")), zero)).alias("_s1"), F.max("n").alias("n")))
+    ratio = F.try_divide(F.col("_s1"), F.col("_s0"))
+    third = F.lit(1.0 / 3.0)
+    width = F.floor(1.1447 * F.pow(ratio * ratio, third) * F.pow(n, third))
+    return rule.select(*grid.by, F.least(width, F.col("n") - 1).cast("int").alias("lags"))
+
+
+def kpss_test(df: DataFrame, grid: Grid, value: str = "y", n_lags: int | str = 72) -> DataFrame:
+    """Level-stationarity test; ``n_lags`` is a number or "auto".
+
+    "auto" reads one number back, the widest bandwidth of all series, because it
+    sets the span margin.
+    """
+    bandwidth = None
     if n_lags == "auto":
-        # First the short lags the rule itself reads (n^(2/9) of them: 64 serve
-        # 10^8 rows per series), then as many as the widest bandwidth needs; that
-        # single number is read back because it sets the span margin.
-        gamma = autocovariance(df, grid, value, 64)
-        cut = F.floor(F.pow(n, F.lit(2.0 / 9.0)) + F.lit(1e-12))
-        inner = F.when((F.col("lag") >= 1) & (F.col("lag") <= cut), F.col("gamma"))
-        zero = F.lit(0.0)
-        rule = (gamma.groupBy(*by)
-                .agg((F.max(F.when(F.col("lag") == 0, F.col("gamma")))
-                      + 2.0 * F.coalesce(F.sum(inner), zero)).alias("_s0"),
-                     (2.0 * F.coalesce(F.sum(inner * F.col("lag")), zero)).alias("_s1"),
-                     F.max("n").alias("n")))
-        ratio = F.try_divide(F.col("_s1"), F.col("_s0"))
-        third = F.lit(1.0 / 3.0)
-        width = F.floor(1.1447 * F.pow(ratio * ratio, third) * F.pow(n, third))
-        chosen = rule.select(*by, F.least(width, F.col("n") - 1).cast("int").alias("lags"))
-        widest = chosen.agg(F.max("lags")).first()[0] or 0
-        gamma = autocovariance(df, grid, value, int(widest)).join(chosen, by)
-    else:
-        gamma = autocovariance(df, grid, value, int(n_lags)).withColumn("lags", F.lit(int(n_lags)))
-    weight = 1.0 - F.col("lag") / (F.col("lags") + 1.0)
-    term = (F.when(F.col("lag") == 0, F.col("gamma"))
-            .when(F.col("lag") <= F.col("lags"), 2.0 * weight * F.col("gamma")))
-    long_run = gamma.groupBy(*by).agg(F.sum(term).alias("_v"), F.max("lags").alias("lags"))
-    stat = F.try_divide(F.col("eta"), F.col("_v"))
-    return (eta.join(long_run, by)
-            .select(*by, stat.alias("kpss_stat"), kpss_p_value(stat).alias("p_value"), "lags"))
+        bandwidth = _auto_bandwidth(df, grid, value)
+        n_lags = bandwidth.agg(F.max("lags")).first()[0] or 0
+    tests = span_tests(df, grid, value, kpss_lag=int(n_lags), bandwidth=bandwidth)
+    return tests.select(*grid.by, "kpss_stat", kpss_p_value(F.col("kpss_stat")).alias("p_value"), "lags")
 
 
 # --- verdict -----------------------------------------------------------------------
@@ -355,6 +395,7 @@ def stationarity_verdict(df: DataFrame, grid: Grid, value: str = "y", season: in
     panel = (wide.select(*grid.by, grid.ts, F.inline(stages)).where("_v IS NOT NULL"))
     staged = Grid(by=(*grid.by, "stage"), ts=grid.ts, step=grid.step)
     keys = list(staged.by)
-    a = adf_test(panel, staged, "_v", max_lag).select(*keys, "adf_stat", F.col("p_value").alias("adf_p"))
-    k = kpss_test(panel, staged, "_v", n_lags).select(*keys, "kpss_stat", F.col("p_value").alias("kpss_p"))
-    return a.join(k, keys).withColumn("verdict", verdict(F.col("adf_p"), F.col("kpss_p")))
+    both = span_tests(panel, staged, "_v", adf_lag=max_lag, kpss_lag=n_lags).select(
+        *staged.by, "adf.adf_stat", F.col("adf.p_value").alias("adf_p"), "kpss_stat",
+        kpss_p_value(F.col("kpss_stat")).alias("kpss_p"))
+    return both.withColumn("verdict", verdict(F.col("adf_p"), F.col("kpss_p")))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from chronolith.operators.grid import Grid, with_position
@@ -243,7 +243,7 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value of Student's t, one value per fitted series."""
     return pd.Series([None if pd.isna(v) or pd.isna(k) or k <= 0
