@@ -179,12 +179,11 @@ def predict_panel(df: DataFrame, coefficients: DataFrame, by: Iterable[str], xs:
 YEAR_SECONDS = 365.25 * 86400.0
 
 
-def additive_design(ts: Column, start: str, end: str, knots: int = 5, yearly: int = 3, weekly: int = 3,
+def additive_design(seconds: Column, start: str, end: str, knots: int = 5, yearly: int = 3, weekly: int = 3,
                     daily: int = 4, flags: Iterable[str] = ()) -> dict[str, Column]:
     """Trend with hinge change points on the first 80 % of training, Fourier terms, flags."""
     a, b = datetime.fromisoformat(start), datetime.fromisoformat(end)
     origin = datetime(1970, 1, 1)
-    seconds = epoch_seconds(ts).cast("double")
     t = (seconds - (a - origin) / timedelta(seconds=1)) / ((b - a) / timedelta(seconds=1))
     out = {"trend": t}
     for i in range(1, knots + 1):
@@ -206,10 +205,11 @@ def additive_forecast(df: DataFrame, by: Iterable[str], train_start: str, train_
     "multiplicative" fits the logarithm and keeps positive targets only.
     """
     by = list(by)
-    columns = additive_design(F.col(ts), train_start, train_end, flags=flags, **design)
+    columns = additive_design(F.col("_seconds"), train_start, train_end, flags=flags, **design)
     xs = list(columns)
     target = F.col(y) if mode == "additive" else F.when(F.col(y) > 0, F.ln(y))
-    full = df.withColumns({**columns, "_target": target})
+    full = (df.withColumn("_seconds", epoch_seconds(F.col(ts)).cast("double"))
+            .withColumns({**columns, "_target": target}).drop("_seconds"))
     train = full.where(F.col(ts) <= F.lit(train_end).cast("timestamp_ntz"))
     out = predict_panel(full, fit_panel(train, by, xs, "_target", ridge), by, xs)
     if mode != "additive":
