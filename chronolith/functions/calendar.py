@@ -50,19 +50,26 @@ def is_weekend(ts: Column) -> Column:
     return (F.weekday(ts) >= 5).cast("int")
 
 
-def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter by the anonymous computus, as one expression."""
+def with_easter(df: DataFrame, year: str = "year", name: str = "easter") -> DataFrame:
+    """Gregorian Easter Sunday by the anonymous computus, in steps that are each computed once."""
     def q(a: Column, b: int) -> Column:
         return F.floor(a / F.lit(b)).cast("int")
 
-    golden = year % 19
-    century, of_century = q(year, 100), year % 100
-    leap_corr = q(century + 8, 25)
-    moon = (golden * 19 + century - q(century, 4) - q(century - leap_corr + 1, 3) + 15) % 30
-    weekday = (F.lit(32) + (century % 4) * 2 + q(of_century, 4) * 2 - moon - of_century % 4) % 7
-    late = q(golden + moon * 11 + weekday * 22, 451)
-    day0 = moon + weekday - late * 7 + 114
-    return F.make_date(year, q(day0, 31), day0 % 31 + 1)
+    y, c = F.col(year), F.col
+    steps = [
+        {"_golden": y % 19, "_century": q(y, 100), "_rest": y % 100},
+        {"_corr": q(c("_century") + 8, 25)},
+        {"_moon": (c("_golden") * 19 + c("_century") - q(c("_century"), 4)
+                   - q(c("_century") - c("_corr") + 1, 3) + 15) % 30},
+        {"_week": (F.lit(32) + (c("_century") % 4) * 2 + q(c("_rest"), 4) * 2 - c("_moon") - c("_rest") % 4) % 7},
+        {"_late": q(c("_golden") + c("_moon") * 11 + c("_week") * 22, 451)},
+        {"_day0": c("_moon") + c("_week") - c("_late") * 7 + 114},
+        {name: F.make_date(y, q(c("_day0"), 31), c("_day0") % 31 + 1)},
+    ]
+    out = df
+    for step in steps:
+        out = out.withColumns(step)
+    return out.select(*df.columns, name)
 
 
 def holiday_table(spark: SparkSession, first_year: int, last_year: int,
@@ -73,11 +80,11 @@ def holiday_table(spark: SparkSession, first_year: int, last_year: int,
     """
     fixed = NATIONAL_FIXED if fixed is None else fixed
     easter = NATIONAL_EASTER if easter is None else easter
-    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
+    years = with_easter(spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year")))
     year = F.col("year")
     rows = [F.struct(F.make_date(year, F.lit(m), F.lit(d)).alias("date"), F.lit(n).alias("name"))
             for m, d, n in fixed]
-    rows += [F.struct(F.date_add(easter_sunday(year), off).alias("date"), F.lit(n).alias("name"))
+    rows += [F.struct(F.date_add("easter", off).alias("date"), F.lit(n).alias("name"))
              for off, n in easter]
     return years.select(F.inline(F.array(*rows)))
 

@@ -79,8 +79,8 @@ def epoch_seconds(ts: Column) -> Column:
 
 
 def floor_div(c: Column, n: int) -> Column:
-    """Integer division rounding toward minus infinity."""
-    return ((c - F.pmod(c, F.lit(n))) / F.lit(n)).cast("long")
+    """Integer division rounding toward minus infinity (for |c| below 2^40)."""
+    return F.floor(c / F.lit(float(n)))
 
 
 def step_of(ts: Column, seconds: int) -> Column:
@@ -97,4 +97,9 @@ def shift_ts(ts: Column, seconds: int) -> Column:
 
 
 def floor_ts(ts: Column, seconds: int) -> Column:
+    """Start of the step a timestamp falls into; hours and days need no arithmetic on epochs."""
+    if seconds == 86400:
+        return F.to_date(ts).cast("timestamp_ntz")
+    if seconds == 3600:
+        return ts - F.make_dt_interval(mins=F.minute(ts), secs=F.extract(F.lit("SECOND"), ts))
     return ts_of_step(step_of(ts, seconds), seconds)

@@ -151,9 +151,14 @@ def linear_coefficients(grams: DataFrame, width: int, keep: Column | None = None
 
 
 def linear_value(xs: Iterable[str], beta: Column) -> Column:
+    """Intercept plus dot product; wide designs go through arrays to keep generated code small."""
+    cols = [F.col(f"`{c}`").cast("double") for c in xs]
+    if len(cols) > 12:
+        x = F.array(F.lit(1.0), *cols)
+        return F.aggregate(F.zip_with(x, beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     total = beta[0]
-    for i, c in enumerate(xs, start=1):
-        total = total + F.col(f"`{c}`") * beta[i]
+    for i, c in enumerate(cols, start=1):
+        total = total + c * beta[i]
     return total
 
 

@@ -57,8 +57,10 @@ def compare(spark, con, name, fn, sql, sf_dir):
     cols = df.columns
     if len(set(cols)) != len(cols):
         return f"duplicate columns {cols}", took
+    if not got:
+        return "no rows", took
     if sql is None:
-        return (None if got else "no rows"), took
+        return None, took
     cur = con.execute(sql)
     want = cur.fetchall()
     wcols = [c[0] for c in cur.description]
