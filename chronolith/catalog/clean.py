@@ -152,15 +152,19 @@ def _(s, sf):
     return clean.mask_invalid(predictions(s, sf)).select("model", "series_id", "ts", rd("y_pred").alias("y_pred"))
 
 
-_CENSUS = sql("wide", " UNION ALL ".join(
+_BY_USER = "SELECT user_id, date_trunc('hour', ts) AS ts, " + ", ".join(
+    f"max(value) FILTER (WHERE event_type = '{t}') AS y_{t}" for t in TYPES) + " FROM events GROUP BY 1, 2"
+_CENSUS = sql("", f"WITH w AS ({_BY_USER}) " + " UNION ALL ".join(
     f"SELECT 'y_{t}' AS column_name, count(*) FILTER (WHERE y_{t} IS NULL) AS n_missing, "
-    + rs(f"count(*) FILTER (WHERE y_{t} IS NULL) / count(*)::DOUBLE * 100") + " AS missing_pct FROM wide "
+    + rs(f"count(*) FILTER (WHERE y_{t} IS NULL) / count(*)::DOUBLE * 100") + " AS missing_pct FROM w "
     f"HAVING count(*) FILTER (WHERE y_{t} IS NULL) > 0" for t in TYPES))
 
 
 @query("missing_census", _CENSUS)
 def _(s, sf):
-    return audit.missing_census(wide(s, sf)).withColumn("missing_pct", rd("missing_pct"))
+    w = (table(s, sf, "events").groupBy("user_id", floor_ts(F.col("ts"), HOUR).alias("ts"))
+         .agg(*[F.max(F.when(F.col("event_type") == t, F.col("value"))).alias(f"y_{t}") for t in TYPES]))
+    return audit.missing_census(w).withColumn("missing_pct", rd("missing_pct"))
 
 
 @query("zero_share", " UNION ALL ".join(

@@ -66,10 +66,10 @@ def _(s, sf):
     return scale.scale_invert(scaled, params, {"y": "y"}, ["series_id"]).withColumn("y", rd("y", 4))
 
 
-@query("minmax_scale", sql("hu", f"""SELECT series_id, ts, {rs('(y - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END')} AS y FROM hu
+@query("minmax_scale", sql("hu", f"""SELECT series_id, ts, {rs('(y - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END', 9)} AS y FROM hu
     JOIN (SELECT series_id, min(y) AS lo, max(y) AS hi FROM hu WHERE ts <= {_TS} GROUP BY 1) USING (series_id)"""))
 def _(s, sf):
-    return scale.minmax_scale(hu(s, sf), ["y"], train_rows(), ["series_id"]).withColumn("y", rd("y"))
+    return scale.minmax_scale(hu(s, sf), ["y"], train_rows(), ["series_id"]).withColumn("y", rd("y", 9))
 
 
 @query("scale_columns", f"""SELECT unique_id, ds, y, is_bulk_is_active, {rs('(price - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END')} AS price FROM

@@ -37,8 +37,20 @@ def cooling_degrees(celsius: Column, base: float = 18.0) -> Column:
 
 
 def pattern_flag(text: Column, pattern: str) -> Column:
-    """1 where the lower-cased text matches, 0 elsewhere and for missing text."""
-    return F.coalesce(F.lower(text).rlike(pattern), F.lit(False)).cast("int")
+    """1 where the lower-cased text matches, 0 elsewhere and for missing text.
+
+    An alternation of plain words is a chain of substring searches, which is
+    several times cheaper than the regular expression on long texts.
+    """
+    low = F.lower(text)
+    words = pattern.split("|")
+    if all(w.replace(" ", "").isalnum() for w in words):
+        hit = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            hit = hit | F.contains(low, F.lit(w))
+    else:
+        hit = low.rlike(pattern)
+    return F.coalesce(hit, F.lit(False)).cast("int")
 
 
 def true_or_zero(condition: Column) -> Column:

@@ -42,7 +42,7 @@ def rolling_origin(df: DataFrame, grid: Grid, start: str, horizon: int = 24,
            .withColumn("horizon", (F.pmod(offset, F.lit(horizon)) + 1).cast("int")))
     if ragged == "drop":
         block = Window.partitionBy(*keys, *grid.by, "origin")
-        out = out.withColumn("_n", F.count("*").over(block)).where(F.col("_n") == horizon).drop("_n")
+        out = out.repartition(*keys, *grid.by, "origin").withColumn("_n", F.count("*").over(block)).where(F.col("_n") == horizon).drop("_n")
     return out
 
 

@@ -50,7 +50,8 @@ def with_position(df: DataFrame, grid: Grid, name: str = "pos") -> DataFrame:
     chunk, so its window is bounded by the calendar, not by the data.
     """
     by = list(grid.by)
-    chunked = df.withColumn("_chunk", floor_div(grid.step_index(), SPAN))
+    chunked = (df.withColumn("_chunk", floor_div(grid.step_index(), SPAN))
+               .repartition(*by, "_chunk"))
     earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (chunked.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"))
                .select(*by, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")))
@@ -104,7 +105,13 @@ class SpanFrame:
 
 def spread_spans(df: DataFrame, grid: Grid, back: int, ahead: int, mode: str = "time",
                  span: int | None = None, position: str | None = None) -> DataFrame:
-    """Add _step, and one copy of each row per span that reaches it (_span)."""
+    """Add _step, and one copy of each row per span that reaches it (_span).
+
+    The result is partitioned by (keys, _span) explicitly: rows that arrive
+    partitioned by the keys alone would satisfy a window over (keys, _span) too,
+    and leave a dominant series in one task.
+    """
+    keys = [*grid.by, "_span"]
     length = span or span_length(back, ahead)
     if position is not None:
         stepped = df.withColumn("_step", F.col(position))
@@ -115,10 +122,10 @@ def spread_spans(df: DataFrame, grid: Grid, back: int, ahead: int, mode: str = "
     step = F.col("_step")
     stepped = stepped.withColumn("_home", floor_div(step, length))
     if back == 0 and ahead == 0:
-        return stepped.withColumn("_span", F.col("_home"))
+        return stepped.withColumn("_span", F.col("_home")).repartition(*keys)
     # A row at step s is read by rows from s - ahead to s + back.
     return stepped.withColumn("_span", F.explode(
-        F.sequence(floor_div(step - ahead, length), floor_div(step + back, length))))
+        F.sequence(floor_div(step - ahead, length), floor_div(step + back, length)))).repartition(*keys)
 
 
 def over_spans(df: DataFrame, grid: Grid, *stages: Callable[[SpanFrame], dict[str, Column]],
@@ -166,13 +173,17 @@ def span_arrays(df: DataFrame, grid: Grid, value: str, back: int, ahead: int = 0
 def spine(df: DataFrame, grid: Grid) -> DataFrame:
     """Every step from the first to the last row of each series.
 
-    Steps are generated span by span, so no array is longer than one span.
+    Steps are generated span by span, so no array is longer than one span.  The
+    short span list is dealt out to a fixed number of tasks first: by its size
+    alone it would be merged into one, which would then expand everything.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = (df.withColumn("_step", grid.step_index()).groupBy(*grid.by)
               .agg(F.min("_step").alias("_lo"), F.max("_step").alias("_hi")))
     lo, hi, s = F.col("_lo"), F.col("_hi"), F.col("_s")
     spans = bounds.select(*grid.by, "_lo", "_hi",
                           F.explode(F.sequence(floor_div(lo, SPAN), floor_div(hi, SPAN))).alias("_s"))
+    spans = spans.repartition(tasks, *grid.by, "_s")
     steps = F.sequence(F.greatest(lo, s * SPAN), F.least(hi, s * SPAN + (SPAN - 1)))
     return (spans.select(*grid.by, F.explode(steps).alias("_step"))
             .select(*grid.by, ts_of_step(F.col("_step"), grid.step).alias(grid.ts)))

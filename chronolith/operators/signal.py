@@ -59,7 +59,8 @@ def centered(df: DataFrame, grid: Grid, value: str = "y") -> DataFrame:
     """
     by = list(grid.by)
     chunked = (df.where(F.col(value).isNotNull())
-               .withColumn("_chunk", floor_div(grid.step_index(), SPAN)))
+               .withColumn("_chunk", floor_div(grid.step_index(), SPAN))
+               .repartition(*by, "_chunk"))
     whole = Window.partitionBy(*by)
     earlier = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = (chunked.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"), F.sum(value).alias("_sum"))

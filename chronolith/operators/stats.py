@@ -88,7 +88,8 @@ def exact_quantiles(df: DataFrame, groups: Iterable[str], value: str, qs: Iterab
     wanted = starts.where(hit).drop("_bc")
     inside = (Window.partitionBy(*groups, "_b").orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = (placed.join(wanted, [*groups, "_b"])
+    # Spread by range, not by group: see grid.spread_spans.
+    ranked = (placed.join(wanted, [*groups, "_b"]).repartition(*groups, "_b")
               .withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
               .withColumn("_first", F.col("_end") - F.col("_c")))
 

@@ -213,14 +213,13 @@ def sequence_windows(df: DataFrame, grid: Grid, value: str = "y", input_len: int
     """
     length = span_length(input_len, output_len)
     arrays = span_arrays(df, grid, value, input_len - 1, output_len, mode, length)
-    pos = F.col("first") + F.col("_i")
-    ready = arrays.select(
-        *grid.by, "first", "values",
-        F.explode(F.sequence(F.col("own"), F.col("own") + F.col("n_own") - 1)).alias("_i"))
-    return (ready
-            .where((F.pmod(pos - (input_len - 1), F.lit(stride)) == 0)
-                   & (F.col("_i") >= input_len - 1)
-                   & (F.col("_i") + output_len < F.size("values")))
-            .select(*grid.by, pos.alias("origin"),
-                    F.slice("values", F.col("_i") - (input_len - 2), input_len).alias("chunk_in"),
-                    F.slice("values", F.col("_i") + 2, output_len).alias("chunk_out")))
+    # Indices of the last input element: aligned to the stride, owned by the span,
+    # with a full chunk on either side.
+    low = F.greatest(F.col("own"), F.lit(input_len - 1))
+    low = low + F.pmod(F.lit(input_len - 1) - F.col("first") - low, F.lit(stride))
+    high = F.least(F.col("own") + F.col("n_own"), F.size("values") - output_len) - 1
+    ready = (arrays.withColumns({"_low": low, "_high": high}).where("_low <= _high")
+             .select(*grid.by, "first", "values", F.explode(F.sequence("_low", "_high", F.lit(stride))).alias("_i")))
+    return ready.select(*grid.by, (F.col("first") + F.col("_i")).alias("origin"),
+                        F.slice("values", (F.col("_i") - (input_len - 2)).cast("int"), input_len).alias("chunk_in"),
+                        F.slice("values", (F.col("_i") + 2).cast("int"), output_len).alias("chunk_out"))
