@@ -145,6 +145,20 @@ def _(s, sf):
     return backtest.mae_mape(test, ["series_id"], "y", "y_pred").withColumns({"mae": rd("mae", 3), "mape": rd("mape", 4)})
 
 
+_TREND = "SELECT *, (epoch(ts) - epoch(TIMESTAMP '1995-01-01')) / 1e8 AS t, (ts::DATE IN (SELECT date FROM hol))::INT AS hd FROM d"
+
+
+@query("additive_forecast_trend", sql("d hol", f"""SELECT x.series_id, x.ts, {rs('b0 + ba * t + bb * hd', 3)} AS y_pred FROM x JOIN c
+    ON x.series_id = c.series_id WHERE ts > TIMESTAMP '1999-12-31'""", x=_TREND,
+    c=_ols2("x", "y", "t", "hd", "ts <= TIMESTAMP '1999-12-31'", "series_id")))
+def _(s, sf):
+    flagged = with_day_flags(d(s, sf), holidays(s))
+    out = models.additive_forecast(flagged, ["series_id"], "1995-01-01 00:00:00", "1999-12-31 00:00:00", ridge=0.0,
+                                   flags=["is_holiday"], knots=0, yearly=0, weekly=0, daily=0)
+    return out.where(F.col("ts") > F.lit("1999-12-31").cast("timestamp_ntz")).select(
+        "series_id", "ts", rd("y_pred", 3).alias("y_pred"))
+
+
 @query("additive_forecast_multiplicative")
 def _(s, sf):
     out = models.additive_forecast(d(s, sf), ["series_id"], "1995-01-01 00:00:00", "1999-12-31 00:00:00",
@@ -166,7 +180,18 @@ def _(s, sf):
 
 # --- search ------------------------------------------------------------------------------
 
-@query("time_grid_search")
+@query("time_grid_search", sql("hf", " UNION ALL ".join(f"""SELECT {i} AS trial, '[(''column'', ''{c}'')]' AS params,
+    {rs(f'avg(abs(y - (b0 + b1 * {c})))', 5)} AS mae FROM f, (SELECT regr_slope(y, {c}) AS b1, regr_intercept(y, {c}) AS b0 FROM f
+    WHERE ts <= {_TS}) WHERE ts > {_TS} AND ts <= {_TV}""" for i, c in enumerate(("lag_1", "lag_24"))), f=_FEAT))
+def _(s, sf):
+    f = chrono_split(features(s, sf), TRAIN_END, VAL_END)
+    def fit(train, val, column):
+        return models.fit_predict_linear(train, val, [column])
+    return models.time_grid_search(s, f.where("split = 'train'"), f.where("split = 'val'"), fit,
+                                   [{"column": "lag_1"}, {"column": "lag_24"}]).withColumn("mae", rd("mae", 5))
+
+
+@query("time_grid_search_gbt")
 def _(s, sf):
     f = chrono_split(features(s, sf), TRAIN_END, VAL_END).persist()
     def fit(train, val, **p):

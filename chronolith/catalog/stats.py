@@ -126,6 +126,18 @@ def _(s, sf):
         rd("r_value").alias("r_value"), rd("std_err").alias("std_err"))
 
 
-@query("ols_trend_p_value")
+# Two-sided t probability as the finite trigonometric sum for whole degrees of freedom.
+_T_SUM = """SELECT series_id, sum(exp(lp)) AS total FROM (SELECT b.series_id, j,
+    sum(CASE WHEN j = first THEN first * ln(cs) ELSE ln((j - 1) / j::DOUBLE) + 2 * ln(cs) END)
+        OVER (PARTITION BY b.series_id ORDER BY j) AS lp
+    FROM (SELECT *, k % 2 AS first FROM a) b JOIN (SELECT generate_series AS j FROM generate_series(0, 20000)) g
+    ON j % 2 = b.first AND j >= b.first AND j <= b.k - 2) GROUP BY 1"""
+
+
+@query("ols_trend_p_value", sql("d", f"""SELECT a.series_id, {rs("""1 - CASE WHEN k % 2 = 0 THEN sin(th) * total
+    ELSE 2 / pi() * (th + sin(th) * total) END""")} AS p_value FROM a JOIN s ON a.series_id = s.series_id""",
+    f="""SELECT series_id, count(*) AS n, corr(y, t) AS r FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS t
+    FROM d) GROUP BY 1""", a="""SELECT series_id, n - 2 AS k, atan(abs(r) / sqrt(1 - r * r)) AS th, cos(atan(abs(r) / sqrt(1 - r * r))) AS cs FROM f""",
+    s=_T_SUM))
 def _(s, sf):
     return stats.ols_trend(d(s, sf), D).select("series_id", rd("p_value").alias("p_value"))

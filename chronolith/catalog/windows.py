@@ -190,6 +190,19 @@ def _(s, sf):
     return out.withColumns({c: rd(c) for c in ("adf_stat", "p_value", "crit_1", "crit_5", "crit_10")})
 
 
+_CRIT = {"crit_1": (-3.43035, -6.5393, -16.786, -79.433), "crit_5": (-2.86154, -2.8903, -4.234, -40.040),
+         "crit_10": (-2.56677, -1.5384, -2.809, 0.0)}
+
+
+@query("adf_test_no_lags", sql("h", f"""SELECT series_id, {rs('b / sqrt((vd - b * cxy) / (n - 2) / vx)', 5)} AS adf_stat, 0 AS used_lag, n AS n_obs, """
+    + ", ".join(rs(" + ".join(f"({c}) / pow(n, {i})" for i, c in enumerate(cs))) + f" AS {name}" for name, cs in _CRIT.items())
+    + f""" FROM (SELECT series_id, count(*) AS n, regr_slope(dy, x) AS b, var_pop(dy) AS vd, covar_pop(dy, x) AS cxy, var_pop(x) AS vx FROM (
+    SELECT series_id, lag(y, 1) {W} AS x, y - lag(y, 1) {W} AS dy FROM h) WHERE x IS NOT NULL GROUP BY 1)"""))
+def _(s, sf):
+    out = signal.adf_test(h(s, sf), H, max_lag=0).drop("p_value")
+    return out.withColumns({c: rd(c) for c in ("crit_1", "crit_5", "crit_10")}).withColumn("adf_stat", rd("adf_stat", 5))
+
+
 def _kpss(lags: int) -> dict[str, str]:
     return {
         "c": _ACF["c"],

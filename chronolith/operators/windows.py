@@ -46,17 +46,31 @@ def ramp(a: Column, b: Column) -> Column:
     return a - b
 
 
+ROLLING = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
+
+
 def rolling_columns(frame, value: str, window: int, lag: int, stats, suffix: str) -> dict[str, Column]:
-    """Statistics of the ``window`` steps that end ``lag`` steps back; NULL until full."""
-    aggs = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
-    return {f"rolling_{s}_{suffix}": frame.full(aggs[s], value, -(lag + window - 1), -lag) for s in stats}
+    """Statistics of the ``window`` steps that end ``lag`` steps back, with their value count.
+
+    To be followed by :func:`full_only`; counting once serves all statistics.
+    """
+    over = frame.frame(-(lag + window - 1), -lag)
+    return {f"_full_{suffix}": F.count(value).over(over),
+            **{f"rolling_{s}_{suffix}": ROLLING[s](value).over(over) for s in stats}}
+
+
+def full_only(window: int, stats, suffix: str) -> dict[str, Column]:
+    """Blank the statistics of frames that do not hold every value."""
+    return {f"rolling_{s}_{suffix}": F.when(F.col(f"_full_{suffix}") == window, F.col(f"rolling_{s}_{suffix}"))
+            for s in stats}
 
 
 def rolling_lagged(df: DataFrame, grid: Grid, value: str = "y", window: int = 24, lag: int = 24,
                    stats=("mean", "std", "max", "min"), mode: str = "time") -> DataFrame:
-    return over_spans(df, grid,
-                      lambda f: rolling_columns(f, value, window, lag, stats, f"{window}h"),
-                      back=lag + window - 1, mode=mode)
+    suffix = f"{window}h"
+    return over_spans(df, grid, lambda f: rolling_columns(f, value, window, lag, stats, suffix),
+                      lambda f: full_only(window, stats, suffix),
+                      back=lag + window - 1, mode=mode).drop(f"_full_{suffix}")
 
 
 def _running_stage(value: str):

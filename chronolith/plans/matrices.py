@@ -19,7 +19,7 @@ from chronolith.operators.clean import (
 from chronolith.operators.grid import Grid, over_spans
 from chronolith.operators.scale import scale_apply, scale_columns, standardize_fit
 from chronolith.operators.windows import (
-    DAY_AHEAD_LAGS, INTRADAY_LAGS, forward_fill, lag_columns, lag_many, rolling_columns)
+    DAY_AHEAD_LAGS, INTRADAY_LAGS, forward_fill, full_only, lag_columns, lag_many, ramp, rolling_columns)
 from chronolith.plans.energy import TARGET, WHOLE
 
 DAY_AHEAD_REACH = max(*DAY_AHEAD_LAGS, 47)
@@ -63,12 +63,16 @@ def _with_target(df: DataFrame, target: str) -> DataFrame:
 def day_ahead_matrix(master: DataFrame, holidays: DataFrame, target: str = TARGET, grid: Grid = WHOLE,
                      mode: str = "row") -> DataFrame:
     """Calendar encodings, day-ahead lags and the 24-step statistics of the day before."""
+    stats = ("mean", "std", "max", "min")
+
     def features(f):
         return {**lag_columns(f, "_y", DAY_AHEAD_LAGS, "load_t_"),
-                **rolling_columns(f, "_y", 24, 24, ("mean", "std", "max", "min"), "24h")}
+                **rolling_columns(f, "_y", 24, 24, stats, "24h")}
 
     base = _with_target(calendar_columns(master, holidays, grid.ts), target)
-    return drop_any_null(over_spans(base, grid, features, back=DAY_AHEAD_REACH, mode=mode).drop("_y"))
+    wide = over_spans(base, grid, features, lambda f: full_only(24, stats, "24h"),
+                      back=DAY_AHEAD_REACH, mode=mode)
+    return drop_any_null(wide.drop("_y", "_full_24h"))
 
 
 def intraday_matrix(master: DataFrame, holidays: DataFrame, target: str = TARGET, grid: Grid = WHOLE,
@@ -80,12 +84,16 @@ def intraday_matrix(master: DataFrame, holidays: DataFrame, target: str = TARGET
     """
     base = drop_listed_columns(day_ahead_matrix(master, holidays, target, grid, mode), LONG_LAG_COLUMNS)
 
+    stats = ("mean", "max", "min")
+
     def features(f):
-        short = lag_columns(f, "_y", INTRADAY_LAGS, "load_t_")
-        return {**short, "load_ramp_1h": f.at("_y", -1) - f.at("_y", -2),
-                **rolling_columns(f, "_y", 6, 1, ("mean", "max", "min"), "6h")}
+        return {**lag_columns(f, "_y", INTRADAY_LAGS, "load_t_"), **rolling_columns(f, "_y", 6, 1, stats, "6h")}
+
+    def finish(f):
+        return {"load_ramp_1h": ramp(F.col("load_t_1"), F.col("load_t_2")), **full_only(6, stats, "6h")}
 
-    return drop_any_null(over_spans(_with_target(base, target), grid, features, back=6, mode=mode).drop("_y"))
+    wide = over_spans(_with_target(base, target), grid, features, finish, back=6, mode=mode)
+    return drop_any_null(wide.drop("_y", "_full_6h"))
 
 
 def _train_mask(train_end: str, ts: str) -> Column:

@@ -48,7 +48,7 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
-def compare(spark, con, name, fn, sql, sf_dir):
+def compare(spark, con, name, fn, sql, sf_dir, need_rows=False):
     """(message or None, spark seconds)."""
     t = time.time()
     df = fn(spark, sf_dir)
@@ -57,7 +57,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     cols = df.columns
     if len(set(cols)) != len(cols):
         return f"duplicate columns {cols}", took
-    if not got:
+    if not got and (need_rows or sql is None):
         return "no rows", took
     if sql is None:
         return None, took
@@ -93,7 +93,7 @@ def main():
     bad = 0
     for name in args.names or qs:
         try:
-            message, took = compare(spark, con, name, qs[name], sqls.get(name), args.sf)
+            message, took = compare(spark, con, name, qs[name], sqls.get(name), args.sf, need_rows=True)
         except Exception as e:  # noqa: BLE001
             message, took = f"ERROR {type(e).__name__}: {str(e)[:900]}", 0.0
         bad += message is not None

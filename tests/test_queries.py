@@ -17,8 +17,16 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, con, name):
-    message, _ = compare(spark, con, name, queries()[name], oracle_sql().get(name), SF)
+    made = []
+
+    def build(session, sf_dir):
+        made.append(queries()[name](session, sf_dir))
+        return made[0]
+
+    message, _ = compare(spark, con, name, build, oracle_sql().get(name), SF)
     assert message is None, message
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_entry(spark):
