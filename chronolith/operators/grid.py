@@ -157,7 +157,7 @@ def span_arrays(df: DataFrame, grid: Grid, value: str, back: int, ahead: int = 0
     length = span or span_length(back, ahead)
     spread = spread_spans(df, grid, back, ahead, mode, length, position)
     grouped = (spread.groupBy(*grid.by, "_span")
-               .agg(F.array_sort(F.collect_list(F.struct("_step", F.col(value).alias("v")))).alias("_rows"),
+               .agg(F.sort_array(F.collect_list(F.struct("_step", F.col(value).alias("v")))).alias("_rows"),
                     F.count_if(F.col("_span") == F.col("_home")).alias("n_own"))
                .where("n_own > 0"))
     first = F.col("_rows")[0]["_step"]

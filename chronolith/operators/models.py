@@ -105,7 +105,7 @@ def gram(df: DataFrame, by: Iterable[str], xs: Iterable[str], y: str = "y") -> D
     cells = complete.mapInPandas(_fold_gram(by, width), schema).select(*by, F.posexplode("_g").alias("_i", "_v"))
     summed = cells.groupBy(*by, "_i").agg(F.sum("_v").alias("_v"))
     return summed.groupBy(*by).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda e: e["_v"]).alias("gram"))
+        F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda e: e["_v"]).alias("gram"))
 
 
 def _square(cells, width: int) -> np.ndarray:
@@ -238,7 +238,7 @@ def quantile_forecast(calibration: DataFrame, score: DataFrame, by: Iterable[str
     held = calibration.select(*by, F.hour(ts).alias("_hour"), (F.col(y) - F.col(y_pred)).alias("_res"))
     bands = exact_quantiles(held, [*by, "_hour"], "_res", taus).drop("n")
     joined = score.withColumn("_hour", F.hour(ts)).join(bands, [*by, "_hour"], "left")
-    ordered = F.array_sort(F.array(*[F.col(y_pred) + F.col(f"q_{i}") for i in range(len(taus))]))
+    ordered = F.sort_array(F.array(*[F.col(y_pred) + F.col(f"q_{i}") for i in range(len(taus))]))
     out = joined.withColumn("_q", ordered)
     names = {f"q{round(t * 100):02d}": F.col("_q")[i] for i, t in enumerate(sorted(taus))}
     return out.withColumns(names).drop("_q", "_hour", *[f"q_{i}" for i in range(len(taus))])

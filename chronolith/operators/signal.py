@@ -147,7 +147,7 @@ def _levinson(rho: pd.Series) -> pd.Series:
 def _as_vector(df: DataFrame, by, index: str, value: str, name: str) -> DataFrame:
     """Collect a bounded number of indexed values per series into an ordered array."""
     return df.groupBy(*by).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))),
+        F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))),
         lambda e: e["v"]).alias(name))
 
 
