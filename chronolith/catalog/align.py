@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolith.catalog.base import H, TRAIN_END, d, h, hr, hu, predictions, query, rd, rs, sql, table, wide
-from chronolith.operators import align, clean, grid, stats
+from chronolith.catalog.base import H, TRAIN_END, h, hr, hu, query, rd, rs, sql, table, wide
+from chronolith.operators import align, grid, stats
 
 
 @query("regularize", sql("hu", "SELECT series_id, ts, y FROM hu"))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolith.catalog.base import D, TYPES, d, h, holidays, query, rd, rs, sql, table
+from chronolith.catalog.base import D, d, h, holidays, query, rd, rs, sql, table
 from chronolith.functions import calendar as cal
 from chronolith.functions import columns as fc
-from chronolith.operators.clean import dedup_first
 from chronolith.operators.grid import over_spans
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolith.catalog.base import TRAIN_END, TYPES, VAL_END, d, h, hr, hu, predictions, query, rd, rs, sql, table, wide
+from chronolith.catalog.base import TRAIN_END, TYPES, VAL_END, h, hr, hu, predictions, query, rd, rs, sql, table, wide
 from chronolith.functions import columns as fc
 from chronolith.functions.columns import floor_ts
 from chronolith.operators import audit, clean

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolith.catalog.base import D, H, TRAIN_END, VAL_END, W, d, hf, holidays, hu, predictions, query, rd, rs, sql, table
+from chronolith.catalog.base import H, TRAIN_END, VAL_END, W, d, hf, holidays, hu, predictions, query, rd, rs, sql, table
 from chronolith.functions.calendar import with_day_flags
 from chronolith.operators import backtest, models, scale
 from chronolith.operators.clean import chrono_split, drop_any_null

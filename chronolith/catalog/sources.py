@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from chronolith.catalog.base import H, TRAIN_END, W, h, hf, hu, predictions, query, rd, rs, sql, table
+from chronolith.catalog.base import H, W, h, hf, hu, predictions, query, rd, rs, sql, table
 from chronolith.operators import models, windows
 from chronolith.operators.backtest import mae_mape
 from chronolith.sources import tables as src

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolith.catalog.base import D, H, TYPES, d, h, hf, hr, predictions, query, rd, rs, sql, table, wide
+from chronolith.catalog.base import D, TYPES, d, h, predictions, query, rd, rs, sql, table, wide
 from chronolith.operators import stats
 
 

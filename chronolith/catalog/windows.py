@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolith.catalog.base import D, H, W, d, h, hf, hr, hu, predictions, query, rd, rs, sql, table
-from chronolith.operators import grid, signal, stats, windows
-from chronolith.operators.models import quantile_forecast
+from chronolith.catalog.base import D, H, W, d, h, hf, hr, hu, query, rd, rs, sql
+from chronolith.operators import grid, signal, windows
 
 _LAGS = (24, 25, 26, 168, 169, 170)
 _LAG_SQL = ", ".join(f"lag(y, {k}) {W} AS load_t_{k}" for k in _LAGS)

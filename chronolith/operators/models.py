@@ -23,7 +23,6 @@ from pyspark.sql.functions import pandas_udf
 
 from chronolith.functions.calendar import cyclical
 from chronolith.functions.columns import epoch_seconds
-from chronolith.operators.clean import split_label
 from chronolith.operators.stats import exact_quantiles
 
 # --- one model for the table ---------------------------------------------------
