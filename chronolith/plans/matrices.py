@@ -2,7 +2,7 @@
 
 All matrices take the master table: ``ts``, a target and covariates, optionally
 with series keys (a grid with ``by``).  ``mode`` decides what a lag means: "row"
-counts rows (the reference behaviour, which slips across gaps), "time" counts
+counts rows (and so slips across gaps), "time" counts
 hours on the clock.
 """
 
