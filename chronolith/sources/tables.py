@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -13,10 +12,22 @@ from chronolith.functions.columns import nan_to_null
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh path in the shared folder the cluster names; a local one only where none is named."""
+    """A fresh path in the folder that all machines share.
+
+    spark.checkpoint.dir names it; else it lies in the home folder of the cluster's default file system.  A
+    file system of one machine serves a local session only: elsewhere executors could not read each other.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="chronolith-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        jvm = spark._jvm
+        fs = jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+        if fs.getScheme() != "file":
+            base = f"{fs.getHomeDirectory().toString()}/.chronolith"
+        elif local:
+            base = f"file:{jvm.java.lang.System.getProperty('java.io.tmpdir')}/chronolith-work"
+        else:
+            raise ValueError("no shared folder: set spark.checkpoint.dir to one that all executors reach")
     return f"{base.rstrip('/')}/chronolith-{uuid.uuid4().hex}"
 
 
