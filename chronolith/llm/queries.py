@@ -5,7 +5,74 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import documents, labels, query
-from chronolith.llm import line_dedup as lines, quality_rules as rules
+from chronolith.llm import (hidden_markov, line_dedup as lines, near_dedup as near, packing, piece_sampling, quality_classifier as quality, quality_rules as rules,
+                            token_counts as tokens, toxicity as toxic)
+
+# --- 1 ---------------------------------------------------------------------------
+
+NEAR_SQL = """
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS sh FROM
+    (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+    WHERE 100 * both >= 85 * (nx.n + ny.n - both)),
+e2 AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS x, doc_id AS root FROM d UNION SELECT e2.y, r.root FROM r JOIN e2 ON e2.x = r.x WHERE r.root < e2.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.root) AS component_id, min(r.root) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
+@query("op1_near_dedup", NEAR_SQL)
+def op1(spark, sf_dir):
+    return near.near_dedup(documents(spark, sf_dir))
+
+
+# --- 2, 3, 4 ------------------------------------------------------------------------
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    return toxic.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op3_hidden_markov")
+def op3(spark, sf_dir):
+    return hidden_markov.hmm_scores(documents(spark, sf_dir))
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    return quality.quality_classifier(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+# --- 5 ---------------------------------------------------------------------------
+
+
+@query("op5_token_counts")
+def op5(spark, sf_dir):
+    return tokens.token_counts(documents(spark, sf_dir))
+
+
+# --- 7 ---------------------------------------------------------------------------
+
+@query("op7_best_fit_packing")
+def op7(spark, sf_dir):
+    return packing.best_fit_packing(documents(spark, sf_dir))
+
+
+# --- 8 ---------------------------------------------------------------------------
+
+@query("op8_piece_sampling")
+def op8(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = piece_sampling.decode(piece_sampling.encode_sampled(docs))
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+                      F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                      F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
 
 # --- 6 ---------------------------------------------------------------------------
 
