@@ -167,7 +167,7 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     centres = parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("c"))
     rows = members.unionByName(centres).join(sets, "c").select("centre", "part", "c", "shingles")
 
-    def compare(key, table: pa.Table) -> pa.Table:
+    def compare(key, table):
         centre = key[0].as_py()
         ids, raw = table.column("c").to_pylist(), table.column("shingles")
         own = np.frombuffer(raw[ids.index(centre)].as_py(), np.uint64)

@@ -16,9 +16,9 @@ WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(co
 s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS sh FROM
     (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
-    WHERE 100 * both >= 85 * (nx.n + ny.n - both)),
+    WHERE 100 * n_common >= 85 * (nx.n + ny.n - n_common)),
 e2 AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id AS x, doc_id AS root FROM d UNION SELECT e2.y, r.root FROM r JOIN e2 ON e2.x = r.x WHERE r.root < e2.y)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.root) AS component_id, min(r.root) = d.doc_id AS kept
