@@ -164,3 +164,25 @@ def signed(h: np.ndarray) -> np.ndarray:
 def list_array(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
     """Rows of a list column out of one flat array; starts has one more entry than rows."""
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values))
+
+
+def append_columns(docs: DataFrame, keep: list[str], inputs: dict[str, Column], run: Callable, added: str) -> DataFrame:
+    """Columns `keep` of the documents and, after them, the columns `added`.
+
+    `run` is called once in each task and returns a function that takes the inputs of a batch and yields
+    (first row, last row, the new columns of these rows).
+    """
+    names = [f"_in{k}" for k in range(len(inputs))]
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [added])
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(n) for n, c in zip(names, inputs.values())])
+    new = [x.split()[0].strip("`") for x in added.split(", ")]
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = run()
+        for batch in batches:
+            for first, last, arrays in make(*[batch.column(len(keep) + k) for k in range(len(names))]):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(k).slice(first, last - first) for k in range(len(keep))] + arrays, [*keep, *new])
+
+    return frame.mapInArrow(over, schema)

@@ -17,11 +17,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from chronolith.llm.common import list_array, mix, signed, slices, span_hashes, stored, words
 
-#: One-permutation bins, and bins of a band.  A pair at similarity 0.85 shares a band of 6 with
-#: probability 0.38, so 36 bands miss one pair in thirty million.
-BINS = 216
-ROWS = 6
-BANDS = BINS // ROWS
+#: One-permutation bins, and the chance of missing a pair just at the threshold that sets the width of a band:
+#: 6 bins at a similarity of 0.85 (0.623 ** 35), 5 bins at 0.8 (0.672 ** 42).
+BINS = 210
+MISS = 1e-7
 #: Members of a star that are confirmed in one group.
 GROUP = 256
 #: Bits of the filter that tells which classes share a bucket (fixed size, 1 MB).
@@ -87,23 +86,29 @@ def signatures(flat: np.ndarray, border: np.ndarray, bins: int = BINS) -> np.nda
     return sig
 
 
-def band_hashes(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    m, bins = sig.shape
-    grouped = sig.reshape(m, bins // rows, rows)
+def band_width(percent: int) -> int:
+    """Bins of a band: as many as keep the chance of missing a pair at the threshold under MISS."""
+    s = percent / 100
+    return max([r for r in range(1, 16) if (1 - s ** r) ** (BINS // r) < MISS], default=1)
+
+
+def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
+    m, bins = len(sig), sig.shape[1] // rows * rows
+    grouped = sig[:, :bins].reshape(m, bins // rows, rows)
     total = np.arange(bins // rows, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93) + np.zeros((m, 1), np.uint64)
     for k in range(rows):
         total = mix(total + grouped[:, :, k])
     return total
 
 
-def _sketch(width: int):
+def _sketch(width: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, flat, border in shingle_sets(batch.column(1), width):
                 m = len(border) - 1
                 a, b = set_keys(flat, border)
-                bands = band_hashes(signatures(flat, border))
+                bands = band_hashes(signatures(flat, border), rows)
                 n = np.diff(border)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(m)), batch.column(0).slice(first, m), pa.array(n), pa.array(signed(a)),
@@ -217,7 +222,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     sketch = stored(docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(
-        _sketch(width), f"row long, doc_id {kind}, n long, a long, b long, bands array<long>"), "sketch")
+        _sketch(width, band_width(percent)), f"row long, doc_id {kind}, n long, a long, b long, bands array<long>"), "sketch")
     # A class is named by the first row that has its set.
     classes = stored(sketch.where("n > 0").groupBy("a", "b").agg(F.min("row").alias("c"), F.min("doc_id").alias("least"),
                                                                  F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronolith.llm.common import crc_fold, mix, slices, span_hashes, words
+from chronolith.llm.common import append_columns, crc_fold, mix, slices, span_hashes, words
 from chronolith.llm.toxicity import training_sample
 
 #: Bound on the labelled texts that vote; their vectors are what is broadcast (SAMPLE_ROWS x RANK floats).
@@ -133,11 +133,12 @@ def vote(v: np.ndarray, voters: np.ndarray, votes: np.ndarray, prior: float) ->
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                       label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per document row.
+                       label: str = "quality", sample_rows: int = SAMPLE_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """The documents' columns `keep` (default: all) with held_out, score and predicted, one row per document row.
 
     The voters are a bounded sample of the labelled training texts; every document is compared with all of
     them.  A null text counts as empty; repeated rows get equal rows; without any label the score is 0.5.
+    Input columns named like the three results are replaced.
     Read back to the driver: the features of the sample (sample_rows x WIDTH half floats).
     """
     sample = training_sample(docs, labels, label, sample_rows, doc_id, text)
@@ -159,16 +160,17 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id
     shared = docs.sparkSession.sparkContext.broadcast((mean, scale, axes, latent(x, mean, scale, axes), votes, prior))
     del x
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score():
         mean, scale, axes, voters, votes, prior = shared.value
-        for batch in batches:
-            for a, b, x in features(batch.column(2)):
+
+        def make(held, texts):
+            for a, b, x in features(texts):
                 p = vote(latent(x, mean, scale, axes), voters, votes, prior)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                                                  pa.array(np.clip(p, 0, 1).astype(np.float64))],
-                                                 ["doc_id", "held_out", "score"])
+                yield a, b, [held.slice(a, b - a), pa.array(np.clip(p, 0, 1).astype(np.float64))]
+        return make
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    read = docs.select(F.col(doc_id).alias("doc_id"), (crc_fold(doc_id, 5) == 0).alias("held_out"), F.col(text).cast("string").alias("_text"))
-    out = read.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double")
+    results = ("held_out", "score", "predicted")
+    keep = [c for c in (keep or docs.columns) if c not in results]
+    out = append_columns(docs, keep, {"held": crc_fold(doc_id, 5) == 0, "text": F.col(text).cast("string")}, score,
+                         "held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

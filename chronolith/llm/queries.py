@@ -35,7 +35,7 @@ def op1(spark, sf_dir):
 
 @query("op2_toxicity")
 def op2(spark, sf_dir):
-    return toxic.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+    return toxic.toxicity(documents(spark, sf_dir), labels(spark, sf_dir), keep=["doc_id"])
 
 
 @query("op3_hidden_markov")
@@ -45,7 +45,7 @@ def op3(spark, sf_dir):
 
 @query("op4_quality_classifier")
 def op4(spark, sf_dir):
-    return quality.quality_classifier(documents(spark, sf_dir), labels(spark, sf_dir))
+    return quality.quality_classifier(documents(spark, sf_dir), labels(spark, sf_dir), keep=["doc_id"])
 
 
 # --- 5 ---------------------------------------------------------------------------

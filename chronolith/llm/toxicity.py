@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronolith.llm.common import crc_fold, stored
+from chronolith.llm.common import append_columns, crc_fold, stored
 
 #: Bound on the labelled rows that the model learns from (those first in the order of a hash of their id).
 SAMPLE_ROWS = 20_000
@@ -255,13 +255,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-             label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per document row.
+             label: str = "toxic", sample_rows: int = SAMPLE_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """The documents' columns `keep` (default: all) with held_out, score and predicted, one row per document row.
 
     Only texts and the labels of training ids teach the model; a score depends on the text alone.  A null
     text counts as empty and gets the score of a text without hits; repeated rows get equal rows; with no
-    label of either kind the score is 0.5.  Read back to the driver: the lexicon (MAX_TERMS rows), its
-    counts, and FEATURES numbers for each row of the bounded sample.
+    label of either kind the score is 0.5.  Input columns named like the three results are replaced.  Read
+    back to the driver: the lexicon (MAX_TERMS rows), its counts, and FEATURES numbers for each row of the
+    bounded sample.
     """
     sample = training_sample(docs, labels, label, sample_rows, doc_id, text)
     terms, odds, totals = learn_lexicon(sample)
@@ -279,18 +280,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     x = np.array(got.column(0).to_pylist(), float).reshape(-1, FEATURES)
     b = fit_logistic(x, got.column(1).to_numpy().astype(float))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score():
         t, w, c = shared.value
         read = Reader(t, w)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                z = np.array([featurize(read, w, c, v or "") for v in part.column(2).to_pylist()]) @ b[:-1] + b[-1]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))],
-                    ["doc_id", "held_out", "score"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    read = docs.select(F.col(doc_id).alias("doc_id"), (crc_fold(doc_id, 5) == 0).alias("held_out"), F.col(text).cast("string").alias("_text"))
-    out = read.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double")
+
+        def make(held, texts):
+            for a in range(0, len(texts), 512):
+                part = texts.slice(a, 512).to_pylist()
+                z = np.array([featurize(read, w, c, v or "") for v in part]) @ b[:-1] + b[-1]
+                yield a, a + len(part), [held.slice(a, len(part)), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))]
+        return make
+
+    results = ("held_out", "score", "predicted")
+    keep = [c for c in (keep or docs.columns) if c not in results]
+    out = append_columns(docs, keep, {"held": crc_fold(doc_id, 5) == 0, "text": F.col(text).cast("string")}, score,
+                         "held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
