@@ -172,7 +172,7 @@ def append_columns(docs: DataFrame, keep: list[str], inputs: dict[str, Column],
     `run` is called once in each task and returns a function that takes the inputs of a batch and yields
     (first row, last row, the new columns of these rows).
     """
-    names = [f"_in{k}" for k in range(len(inputs))]
+    names = [f"__in{k}" for k in range(len(inputs))]
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [added])
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(n) for n, c in zip(names, inputs.values())])

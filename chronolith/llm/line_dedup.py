@@ -53,18 +53,18 @@ def line_dedup(docs: DataFrame, host: str = "source", text: str = "text",
     """
     shares = line_shares(docs, host, text)
     lists = stored(shares.where(F.col("pages") > max_ratio * F.col("host_pages"))
-                   .groupBy("host").agg(F.collect_set("line").alias("furniture"))
-                   .withColumnRenamed("host", "_host"), "furniture")
-    joined = docs.join(lists, docs[host].eqNullSafe(lists["_host"]), "left").drop("_host")
+                   .groupBy("host").agg(F.collect_set("line").alias("__line_furniture"))
+                   .withColumnRenamed("host", "__line_host"), "__line_furniture")
+    joined = docs.join(lists, docs[host].eqNullSafe(lists["__line_host"]), "left").drop("__line_host")
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("furniture", _key(x)), F.lit(False)))
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__line_furniture", _key(x)), F.lit(False)))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", text)]
-    step = joined.select(*[docs[c] for c in keep], F.col(text).alias("_before"), lines.alias("_lines"),
-                         F.when(F.col("furniture").isNull(), lines).otherwise(kept).alias("_kept"))
-    cleaned = F.when(F.size("_kept") == F.size("_lines"), F.col("_before")).otherwise(F.array_join("_kept", "\n"))
+    step = joined.select(*[docs[c] for c in keep], F.col(text).alias("__line_before"), lines.alias("__line_lines"),
+                         F.when(F.col("__line_furniture").isNull(), lines).otherwise(kept).alias("__line_kept"))
+    cleaned = F.when(F.size("__line_kept") == F.size("__line_lines"), F.col("__line_before")).otherwise(F.array_join("__line_kept", "\n"))
     step = step.select(*keep, cleaned.alias(text),
-                       F.size(F.filter(F.coalesce("_lines", F.array()), lambda x: _key(x).isNotNull()))
+                       F.size(F.filter(F.coalesce("__line_lines", F.array()), lambda x: _key(x).isNotNull()))
                        .cast("long").alias("n_lines"),
-                       F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long").alias("n_dropped"))
+                       F.coalesce(F.size("__line_lines") - F.size("__line_kept"), F.lit(0)).cast("long").alias("n_dropped"))
     order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return step.select(*order, "n_lines", "n_dropped")

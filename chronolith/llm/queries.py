@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import documents, labels, query
 from chronolith.llm import (hidden_markov, line_dedup as lines, near_dedup as near, packing, piece_sampling, quality_classifier as quality, quality_rules as rules,
-                            token_counts as tokens, toxicity as toxic)
+                            token_counts as tokens, toxicity as toxic, winnowing)
 
 # --- 1 ---------------------------------------------------------------------------
 
@@ -136,3 +136,10 @@ GROUP BY l.rid, l.doc_id
 def op9(spark, sf_dir):
     out = lines.line_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"))
+
+
+# --- 10 --------------------------------------------------------------------------
+
+@query("op10_fingerprints")
+def op10(spark, sf_dir):
+    return winnowing.fingerprints(documents(spark, sf_dir))

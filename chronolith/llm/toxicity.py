@@ -37,8 +37,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, d
     ids = (labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (crc_fold(doc_id, fold) != 0))
            .groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("label"))
            .orderBy(F.xxhash64("_id"), "_id").limit(rows))
-    chosen = docs.join(F.broadcast(ids), docs[doc_id] == F.col("_id")).select(
-        F.coalesce(F.col(text), F.lit("")).alias("text"), "label")
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("text", "label")
     return stored(chosen.groupBy(F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
                   .select("text", "label"), "sample")
 

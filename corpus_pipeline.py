@@ -43,10 +43,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows that share an id are told apart by their text; exact copies of a row count as one.
     """
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
-    found = near_dedup(keyed, doc_id="_key", width=5, percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keyed = docs.withColumn("__near_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+    found = near_dedup(keyed, doc_id="__near_key", width=5, percent=80)
+    kept = found.where("kept").select(F.col("doc_id").alias("__near_key")).distinct()
+    return keyed.join(kept, "__near_key", "left_semi").dropDuplicates(["__near_key"]).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
