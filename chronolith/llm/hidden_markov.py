@@ -212,9 +212,9 @@ def encode(read: DataFrame, lexicon, texts: int) -> DataFrame:
                 at, opened = at[hit], open_class(s.data, starts, ends)
                 cls = 1 + OWN_CLASSES + opened
                 cls[hit] = x.cls[at]
-                base = np.bincount(doc[hit], x.base(x.n[at]), m) + x.base(texts)
+                base = np.bincount(doc[hit], x.base(x.n[at]), m).astype(float) + x.base(texts)
                 drawn = hit & (cls > OWN_CLASSES)
-                inside = np.bincount(doc[drawn], x.inside(x.n[at][drawn[hit]], opened[drawn]), m)
+                inside = np.bincount(doc[drawn], x.inside(x.n[at][drawn[hit]], opened[drawn]), m).astype(float)
                 known = np.bincount(doc[hit], minlength=m) + (texts > 0)
                 flat = np.insert(cls, border[1:], END).astype("<u2")
                 stops = border + np.arange(m + 1)
@@ -223,7 +223,7 @@ def encode(read: DataFrame, lexicon, texts: int) -> DataFrame:
                 part = batch.slice(s.first, m)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(m)), part.column("doc_id"), part.column("held_out"),
-                     pa.array(np.diff(stops)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(inside),
+                     pa.array(np.diff(stops)), pa.array(known.astype(np.int64)), pa.array(base, pa.float64()), pa.array(inside, pa.float64()),
                      pa.array([raw[2 * a:2 * b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())], pa.binary()),
                      list_array(h[~hit], rest), list_array(opened[~hit], rest)],
                     ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside", "seq", "rest", "rest_cls"])
