@@ -54,22 +54,27 @@ def _(s, sf):
     return align.lookup_rows(wanted, table(s, sf, "orders"), ["o_orderkey"], ["o_custkey", "o_totalprice"])
 
 
-@query("concat_columns", sql("h", """SELECT coalesce(a.ts, b.ts) AS ts, a.y AS click_y, b.y AS view_y
-    FROM (SELECT ts, y FROM h WHERE series_id = 'click') a FULL JOIN (SELECT ts, y FROM h WHERE series_id = 'view') b ON a.ts = b.ts"""))
+_DAYS = {"o": "SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ts, round(sum(o_totalprice), 2) AS order_value FROM orders GROUP BY 1",
+         "l": "SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS ts, count(*) AS shipped FROM lineitem GROUP BY 1"}
+
+
+def _days(s, sf):
+    """Daily value of all orders and daily count of all shipped lines: two whole tables with different days."""
+    orders = table(s, sf, "orders").groupBy(F.to_date("o_orderdate").cast("timestamp_ntz").alias("ts")).agg(
+        F.round(F.sum("o_totalprice"), 2).alias("order_value"))
+    lines = table(s, sf, "lineitem").groupBy(F.to_date("l_shipdate").cast("timestamp_ntz").alias("ts")).agg(
+        F.count("*").alias("shipped"))
+    return orders, lines
+
+
+@query("concat_columns", sql("", "SELECT coalesce(o.ts, l.ts) AS ts, order_value, shipped FROM o FULL JOIN l ON o.ts = l.ts", **_DAYS))
 def _(s, sf):
-    base = h(s, sf)
-    def side(t):
-        return base.where(F.col("series_id") == t).select("ts", F.col("y").alias(f"{t}_y"))
-    return align.concat_columns(side("click"), side("view"), ["ts"])
+    return align.concat_columns(*_days(s, sf), ["ts"])
 
 
-@query("align_intersection", sql("h", """SELECT a.ts, a.y AS click_y, b.y AS view_y FROM h a JOIN h b ON a.ts = b.ts
-    WHERE a.series_id = 'click' AND b.series_id = 'view'"""))
+@query("align_intersection", sql("", "SELECT o.ts, order_value, shipped FROM o JOIN l ON o.ts = l.ts", **_DAYS))
 def _(s, sf):
-    base = h(s, sf)
-    def side(t):
-        return base.where(F.col("series_id") == t).select("ts", F.col("y").alias(f"{t}_y"))
-    return align.align_intersection(side("click"), side("view"), ["ts"])
+    return align.align_intersection(*_days(s, sf), ["ts"])
 
 
 @query("sort_time", sql("h", "SELECT series_id, ts, y FROM h ORDER BY ts, series_id"))

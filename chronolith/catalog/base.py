@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chronolith.functions.calendar import NATIONAL_FIXED, holiday_table
+from chronolith.functions.calendar import NATIONAL_FIXED, holidays_for
 from chronolith.functions.columns import floor_ts
 from chronolith.operators.grid import DAY, HOUR, Grid, over_spans, regularize
 
@@ -88,8 +88,11 @@ TRAIN_END, VAL_END = "2024-01-20 23:00:00", "2024-01-25 23:00:00"
 EXTRA_HOLIDAYS = [(1, 16, "Founders Day"), (1, 25, "Harbour Day")]
 
 
-def holidays(spark, first: int = 1995, last: int = 2024) -> DataFrame:
-    return holiday_table(spark, first, last, fixed=NATIONAL_FIXED + EXTRA_HOLIDAYS)
+def holidays(spark, sf) -> DataFrame:
+    """Holidays of the years of events and orders."""
+    days = (table(spark, sf, "events").select(F.to_date("ts").alias("ts"))
+            .union(table(spark, sf, "orders").select(F.to_date("o_orderdate"))))
+    return holidays_for(days, fixed=NATIONAL_FIXED + EXTRA_HOLIDAYS)
 
 
 def predictions(spark, sf) -> DataFrame:
@@ -158,10 +161,16 @@ VIEWS = {
         f"round(sum(value) FILTER (WHERE event_type = '{t}'), 2) AS y_{t}" for t in TYPES)
         + ", round(sum(value), 2) AS total, count(*) AS n, max(value) AS peak FROM events GROUP BY 1",
     "hol": """SELECT * FROM (
-            SELECT make_date(y::INT, m, d) AS date FROM range(1995, 2025) t(y),
+            SELECT make_date(y::INT, m, d) AS date FROM hyears t(y),
                    (VALUES (1,1),(1,6),(5,1),(8,15),(10,12),(11,1),(12,6),(12,8),(12,25),(1,16),(1,25)) v(m, d)
-            UNION SELECT unnest([DATE '1995-04-14', DATE '1996-04-05', DATE '1997-03-28', DATE '1998-04-10',
-                   DATE '1999-04-02', DATE '2000-04-21', DATE '2001-04-13', DATE '2024-03-29']))""",
+            UNION SELECT easter - 2 FROM heaster)""",
+    "hyears": """SELECT unnest(range((SELECT least(min(year(ts)), (SELECT min(year(o_orderdate)) FROM orders)) - 1 FROM events),
+            (SELECT greatest(max(year(ts)), (SELECT max(year(o_orderdate)) FROM orders)) + 2 FROM events))) AS y""",
+    "heaster": """SELECT make_date(y::INT, (n // 31)::INT, (n % 31 + 1)::INT) AS easter FROM (
+            SELECT y, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM (
+            SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM (
+            SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM (
+            SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM hyears))))""",
     "flags": """SELECT date, max(hd) AS is_holiday, max(bd) AS is_bridge_day FROM (
             SELECT date, 1 AS hd, 0 AS bd FROM hol
             UNION ALL SELECT (date - INTERVAL 1 DAY)::DATE, 0, 1 FROM hol WHERE isodow(date) = 2
@@ -212,7 +221,7 @@ VIEWS = {
     "master": """SELECT e.*, w.* EXCLUDE (ts) FROM ebase e JOIN wfeat w ON e.ts = w.ts
             WHERE e."total load actual" IS NOT NULL""",
 }
-NEEDS = {"hs": ["h"], "hr": ["hs", "h"], "hf": ["hr"], "us": ["u"], "hu": ["us", "u"], "flags": ["hol"],
+NEEDS = {"hs": ["h"], "hr": ["hs", "h"], "hf": ["hr"], "us": ["u"], "hu": ["us", "u"], "flags": ["hol"], "hol": ["hyears", "heaster"], "heaster": ["hyears"],
          "plags": ["hf"], "pred": ["plags"], "ebase": ["energy"], "wfirst": ["weather"], "wmeas": ["wfirst"],
          "wfeat": ["wmeas"], "master": ["ebase", "wfeat"]}
 

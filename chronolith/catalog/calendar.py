@@ -33,15 +33,13 @@ def _(s, sf):
 @query("is_holiday", sql("hol", """SELECT o_orderkey, o_orderdate, (o_orderdate::DATE IN (SELECT date FROM hol))::INT
     AS is_holiday FROM orders"""))
 def _(s, sf):
-    return cal.with_holiday(table(s, sf, "orders").select("o_orderkey", "o_orderdate"), holidays(s), "o_orderdate")
+    return cal.with_holiday(table(s, sf, "orders").select("o_orderkey", "o_orderdate"), holidays(s, sf), "o_orderdate")
 
 
-@query("is_bridge_day", sql("flags", """SELECT series_id, ts, y, coalesce(f.is_holiday, 0) AS is_holiday,
-    coalesce(f.is_bridge_day, 0) AS is_bridge_day FROM d LEFT JOIN flags f ON d.ts::DATE = f.date""",).replace(
-        "WITH hol", "WITH d AS (SELECT o_orderpriority AS series_id, date_trunc('day', o_orderdate) AS ts, "
-                    "round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1, 2), hol"))
+@query("is_bridge_day", sql("d flags", """SELECT series_id, ts, y, coalesce(f.is_holiday, 0) AS is_holiday,
+    coalesce(f.is_bridge_day, 0) AS is_bridge_day FROM d LEFT JOIN flags f ON d.ts::DATE = f.date"""))
 def _(s, sf):
-    return cal.with_day_flags(d(s, sf), holidays(s))
+    return cal.with_day_flags(d(s, sf), holidays(s, sf))
 
 
 @query("is_bridge_day_positional", sql("d hol", """SELECT series_id, ts, ((isodow(ts) = 1 AND coalesce(lead(is_h) OVER w, 0) = 1)
@@ -49,7 +47,7 @@ def _(s, sf):
     FROM (SELECT *, (ts::DATE IN (SELECT date FROM hol))::INT AS is_h FROM d)
     WINDOW w AS (PARTITION BY series_id ORDER BY ts)"""))
 def _(s, sf):
-    flagged = cal.with_holiday(d(s, sf), holidays(s))
+    flagged = cal.with_holiday(d(s, sf), holidays(s, sf))
     return over_spans(flagged, D, lambda f: {"is_bridge_day": cal.positional_bridge(f, "ts", day=1)},
                       back=1, ahead=1, mode="row").select("series_id", "ts", "is_bridge_day")
 
@@ -57,7 +55,7 @@ def _(s, sf):
 @query("holiday_lookup", sql("hol", """SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity FROM lineitem
     WHERE l_shipdate::DATE IN (SELECT date FROM hol)"""))
 def _(s, sf):
-    days = holidays(s).select("date").distinct()
+    days = holidays(s, sf).select("date").distinct()
     li = table(s, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
     return li.join(days, F.to_date("l_shipdate") == F.col("date"), "left_semi")
 

@@ -132,7 +132,7 @@ def _(s, sf):
     {rs('avg(benchmark_error)')} AS benchmark_mae, {rs('avg(win) * 100')} AS win_pct FROM c JOIN flags f ON c.ts::DATE = f.date
     WHERE f.is_holiday = 1 OR f.is_bridge_day = 1 GROUP BY 1""", c=_CMP))
 def _(s, sf):
-    flagged = with_day_flags(compared(s, sf), holidays(s))
+    flagged = with_day_flags(compared(s, sf), holidays(s, sf))
     cond = (F.col("is_holiday") == 1) | (F.col("is_bridge_day") == 1)
     return lb.conditional_mae(flagged, cond, ["series_id"]).withColumns(
         {c: rd(c) for c in ("model_mae", "benchmark_mae", "win_pct")})

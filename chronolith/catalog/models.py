@@ -9,6 +9,7 @@ from chronolith.functions.calendar import with_day_flags
 from chronolith.operators import backtest, models, scale
 from chronolith.operators.clean import chrono_split, drop_any_null
 from chronolith.operators.grid import over_spans
+from chronolith.sources.tables import materialize
 
 _TS = f"TIMESTAMP '{TRAIN_END}'"
 _TV = f"TIMESTAMP '{VAL_END}'"
@@ -138,7 +139,7 @@ def _(s, sf):
 
 @query("additive_forecast")
 def _(s, sf):
-    flagged = with_day_flags(d(s, sf), holidays(s))
+    flagged = with_day_flags(d(s, sf), holidays(s, sf))
     out = models.additive_forecast(flagged, ["series_id"], "1995-01-01 00:00:00", "1999-12-31 00:00:00",
                                    flags=["is_holiday", "is_bridge_day"], daily=0)
     test = out.where(F.col("ts") > F.lit("1999-12-31").cast("timestamp_ntz"))
@@ -152,7 +153,7 @@ _TREND = "SELECT *, (epoch(ts) - epoch(TIMESTAMP '1995-01-01')) / 1e8 AS t, (ts:
     ON x.series_id = c.series_id WHERE ts > TIMESTAMP '1999-12-31'""", x=_TREND,
     c=_ols2("x", "y", "t", "hd", "ts <= TIMESTAMP '1999-12-31'", "series_id")))
 def _(s, sf):
-    flagged = with_day_flags(d(s, sf), holidays(s))
+    flagged = with_day_flags(d(s, sf), holidays(s, sf))
     out = models.additive_forecast(flagged, ["series_id"], "1995-01-01 00:00:00", "1999-12-31 00:00:00", ridge=0.0,
                                    flags=["is_holiday"], knots=0, yearly=0, weekly=0, daily=0)
     return out.where(F.col("ts") > F.lit("1999-12-31").cast("timestamp_ntz")).select(
@@ -180,7 +181,7 @@ def _(s, sf):
 
 # --- search ------------------------------------------------------------------------------
 
-@query("time_grid_search", sql("hf", " UNION ALL ".join(f"""SELECT {i} AS trial, '[(''column'', ''{c}'')]' AS params,
+@query("time_grid_search", sql("hf", " UNION ALL ".join(f"""SELECT {i} AS trial, NULL::VARCHAR AS error, '{{"column": "{c}"}}' AS params,
     {rs(f'avg(abs(y - (b0 + b1 * {c})))', 5)} AS mae FROM f, (SELECT regr_slope(y, {c}) AS b1, regr_intercept(y, {c}) AS b0 FROM f
     WHERE ts <= {_TS}) WHERE ts > {_TS} AND ts <= {_TV}""" for i, c in enumerate(("lag_1", "lag_24"))), f=_FEAT))
 def _(s, sf):
@@ -193,7 +194,8 @@ def _(s, sf):
 
 @query("time_grid_search_gbt")
 def _(s, sf):
-    f = chrono_split(features(s, sf), TRAIN_END, VAL_END).persist()
+    # The trials share one stored table, so the sources are read once however many trials there are.
+    f = materialize(chrono_split(features(s, sf), TRAIN_END, VAL_END), s)
     def fit(train, val, **p):
         return models.fit_predict_gbt(train, val, ["lag_1", "lag_24"], **p)
     trials = models.random_trials({"maxDepth": ("int", 2, 3), "maxIter": ("int", 2, 3), "stepSize": ("log", 0.05, 0.5)}, 2)

@@ -68,7 +68,7 @@ _CYCN = [f"{p}_{f}" for p in ("hour", "dow", "doy") for f in ("sin", "cos")]
 
 @query("calendar_regressor_matrix", sql("master flags", f'SELECT m.ts AS ds, "total load actual" AS y, {_FLAGC} FROM master m {_FLAGJ}'))
 def _(s, sf):
-    return matrices.calendar_regressor_matrix(_master(s, sf), holidays(s))
+    return matrices.calendar_regressor_matrix(_master(s, sf), holidays(s, sf))
 
 
 def _frame(a, b):
@@ -103,7 +103,7 @@ def _honest(s, sf):
 
 @query("day_ahead_matrix", sql("master flags", f"SELECT ts, {_cols(_DAYCOLS)} FROM da", honest=_HONEST, day0=_DAY, da=_DONE))
 def _(s, sf):
-    return _rounded(matrices.day_ahead_matrix(_honest(s, sf), holidays(s)))
+    return _rounded(matrices.day_ahead_matrix(_honest(s, sf), holidays(s, sf)))
 
 
 _FIL = [LOAD, *_FL, *_CALC, *[f"load_t_{k}" for k in _LAGS], *_ROLL]
@@ -118,7 +118,7 @@ def _plain(s, sf):
 
 @query("day_ahead_matrix_plain", sql("master flags", f"SELECT ts, {_cols(_FIL)} FROM da", honest=_HON2, day0=_DAY, da=_DONE2))
 def _(s, sf):
-    return _rounded(matrices.day_ahead_matrix(_plain(s, sf), holidays(s)))
+    return _rounded(matrices.day_ahead_matrix(_plain(s, sf), holidays(s, sf)))
 
 
 _SHORT = ", ".join(f"lag({_Y}, {k}) OVER (ORDER BY ts) AS load_t_{k}" for k in (1, 2, 3))
@@ -129,14 +129,14 @@ _INTRACOLS = [LOAD, *_FL, *_CALC, *_ROLL, "load_t_1", "load_t_2", "load_t_3", "l
 
 @query("intraday_matrix", sql("master flags", f"SELECT ts, {_cols(_INTRACOLS)} FROM ia", honest=_HON2, day0=_DAY, da=_DONE2, ia=_INTRA))
 def _(s, sf):
-    return _rounded(matrices.intraday_matrix(_plain(s, sf), holidays(s)))
+    return _rounded(matrices.intraday_matrix(_plain(s, sf), holidays(s, sf)))
 
 
 @query("day_ahead_matrix_time", sql("hf flags", f"""SELECT series_id, ts, is_holiday, is_bridge_day, {rs('y', 4)} AS y, load_t_24, load_t_170, {rs('rm')} AS rolling_mean_24h
     FROM (SELECT m.*, {_FLAGC}, lag(y, 24) {W.replace('series_id', 'm.series_id')} AS load_t_24, lag(y, 170) {W.replace('series_id', 'm.series_id')} AS load_t_170,
     avg(y) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 47 PRECEDING AND 24 PRECEDING) AS rm FROM hf m {_FLAGJ}) WHERE load_t_170 IS NOT NULL"""))
 def _(s, sf):
-    out = matrices.day_ahead_matrix(hf(s, sf), holidays(s), "y", H, mode="time")
+    out = matrices.day_ahead_matrix(hf(s, sf), holidays(s, sf), "y", H, mode="time")
     return out.select("series_id", "ts", "is_holiday", "is_bridge_day", rd("y", 4).alias("y"), "load_t_24", "load_t_170",
                       rd("rolling_mean_24h").alias("rolling_mean_24h"))
 
@@ -149,7 +149,7 @@ _SC = [LOAD, *[f"load_t_{k}" for k in _LAGS], *_ROLL, *_CALC, *_FL]
     + " FROM da, p", honest=_HON2, day0=_DAY, da=_DONE2,
     p="SELECT " + ", ".join(f'avg("{c}") AS "{c}_m", stddev_pop("{c}") AS "{c}_s"' for c in _SC) + f" FROM da WHERE ts <= {_TS}"))
 def _(s, sf):
-    return _rounded(matrices.scaled_matrix(_plain(s, sf), holidays(s), TRAIN_END)[0])
+    return _rounded(matrices.scaled_matrix(_plain(s, sf), holidays(s, sf), TRAIN_END)[0])
 
 
 _SEQW = [f"{m}_Type_view" for m in ("HDD", "CDD", "wind_speed", "humidity", "cloud_cover_pct")]
@@ -162,7 +162,7 @@ _SEQW = [f"{m}_Type_view" for m in ("HDD", "CDD", "wind_speed", "humidity", "clo
     p="SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in _SEQW) + f" FROM sq WHERE ds <= {_TS}"))
 def _(s, sf):
     m = _honest(s, sf).select("ts", f"`{LOAD}`", *_FL, *_SEQW)
-    return _rounded(matrices.sequence_matrix(m, holidays(s), TRAIN_END))
+    return _rounded(matrices.sequence_matrix(m, holidays(s, sf), TRAIN_END))
 
 
 @query("univariate_panel", sql("master", f"SELECT 'grid' AS unique_id, ts AS ds, {_Y} AS y FROM master"))
@@ -239,7 +239,7 @@ _BUILT = {
 def _(s, sf):
     from chronolith.sources import tables as src
     folder = src.work_folder(s)
-    built = matrices.build_all(_market(s, sf), holidays(s), TRAIN_END, sparse=SPARSE,
+    built = matrices.build_all(_market(s, sf), holidays(s, sf), TRAIN_END, sparse=SPARSE,
                                shared=lambda df: src.materialize(df, s))
     src.write_feature_matrices(built, folder, {n: "ds" if "ds" in df.columns else "ts" for n, df in built.items()})
     out = None
@@ -264,5 +264,5 @@ def _(s, sf):
     base = windows.lag_features(hf(s, sf), H, lags=(1, 24), prefix="p")
     forecast = base.select("series_id", "ts", F.col("y").alias("y_true"), F.col("p1").alias("q50"))
     bench = base.select("series_id", "ts", F.col("p24").alias("benchmark"))
-    out = profile.error_profile(forecast, bench, holidays(s), ["series_id", "ts"])
+    out = profile.error_profile(forecast, bench, holidays(s, sf), ["series_id", "ts"])
     return out.withColumns({c: rd(c) for c in ("model_mae", "benchmark_mae", "win_pct")})

@@ -81,9 +81,7 @@ def _(s, sf):
 @query("difference", sql("h", f"SELECT series_id, ts, {rs(f'd24 - lag(d24, 1) {W}', 4)} AS diff_24_1, {rs('d24', 4)} AS diff_24 "
                               f"FROM (SELECT series_id, ts, y - lag(y, 24) {W} AS d24 FROM h)"))
 def _(s, sf):
-    both = windows.difference(h(s, sf).drop("n"), H, lags=(24, 1))
-    one = windows.difference(h(s, sf).drop("n"), H, lags=(24,)).drop("y")
-    return both.join(one, ["series_id", "ts"]).select(
+    return windows.difference(h(s, sf).drop("n"), H, lags=(24, 1), steps=True).select(
         "series_id", "ts", rd("diff_24_1", 4).alias("diff_24_1"), rd("diff_24", 4).alias("diff_24"))
 
 
@@ -242,16 +240,34 @@ def _(s, sf):
     return out.withColumns({c: rd(c) for c in ("adf_stat", "adf_p", "kpss_stat", "kpss_p")})
 
 
-@query("sequence_windows", sql("hu", f"""SELECT series_id, origin, first_in, {rs('sum_in', 2)} AS sum_in, n_in, first_out, {rs('sum_out', 2)} AS sum_out, n_out
-    FROM (SELECT series_id, row_number() OVER w - 1 AS origin, lag(y, 167) OVER w AS first_in,
-    sum(y) OVER (w ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS sum_in, count(y) OVER (w ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS n_in,
-    lead(y, 1) OVER w AS first_out, sum(y) OVER (w ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS sum_out,
-    count(y) OVER (w ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS n_out FROM hu WINDOW w AS (PARTITION BY series_id ORDER BY ts))
-    WHERE n_in = 168 AND n_out = 24 AND (origin - 167) % 24 = 0"""))
-def _(s, sf):
-    out = windows.sequence_windows(hu(s, sf), H)
+def _chunk_sql(back: int, ahead: int, stride: int, view: str = "hu") -> str:
+    return sql(view, f"""SELECT series_id, origin, first_in, {rs('sum_in', 2)} AS sum_in, n_in, first_out, {rs('sum_out', 2)} AS sum_out, n_out
+    FROM (SELECT series_id, row_number() OVER w - 1 AS origin, lag(y, {back - 1}) OVER w AS first_in,
+    sum(y) OVER (w ROWS BETWEEN {back - 1} PRECEDING AND CURRENT ROW) AS sum_in, count(y) OVER (w ROWS BETWEEN {back - 1} PRECEDING AND CURRENT ROW) AS n_in,
+    lead(y, 1) OVER w AS first_out, sum(y) OVER (w ROWS BETWEEN 1 FOLLOWING AND {ahead} FOLLOWING) AS sum_out,
+    count(y) OVER (w ROWS BETWEEN 1 FOLLOWING AND {ahead} FOLLOWING) AS n_out FROM {view} WINDOW w AS (PARTITION BY series_id ORDER BY ts))
+    WHERE n_in = {back} AND n_out = {ahead} AND (origin - {back - 1}) % {stride} = 0""")
+
+
+def _chunks(df, grid, back, ahead, stride):
+    out = windows.sequence_windows(df, grid, input_len=back, output_len=ahead, stride=stride)
     def total(c):
         return rd(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 2)
     return out.select("series_id", "origin", F.col("chunk_in")[0].alias("first_in"), total("chunk_in").alias("sum_in"),
                       F.size("chunk_in").alias("n_in"), F.col("chunk_out")[0].alias("first_out"),
                       total("chunk_out").alias("sum_out"), F.size("chunk_out").alias("n_out"))
+
+
+@query("sequence_windows", _chunk_sql(168, 24, 24))
+def _(s, sf):
+    return _chunks(hu(s, sf), H, 168, 24, 24)
+
+
+@query("sequence_windows_month", _chunk_sql(720, 24, 24, "d"))
+def _(s, sf):
+    return _chunks(d(s, sf), D, 720, 24, 24)
+
+
+@query("sequence_windows_hour", _chunk_sql(24, 1, 24))
+def _(s, sf):
+    return _chunks(hu(s, sf), H, 24, 1, 24)

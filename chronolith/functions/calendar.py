@@ -89,6 +89,15 @@ def holiday_table(spark: SparkSession, first_year: int, last_year: int,
     return years.select(F.inline(F.array(*rows)))
 
 
+def holidays_for(df: DataFrame, ts: str = "ts", fixed=None, easter=None) -> DataFrame:
+    """Holidays of all years in which the data lies, and of the neighbouring years for their bridge days.
+
+    One aggregate row is read back, the first and the last date.
+    """
+    first, last = df.agg(F.min(F.year(ts)), F.max(F.year(ts))).first()
+    return holiday_table(df.sparkSession, (first or 1970) - 1, (last or 1970) + 1, fixed, easter)
+
+
 def day_flags(holidays: DataFrame) -> DataFrame:
     """One row per flagged date: is_holiday and is_bridge_day.
 

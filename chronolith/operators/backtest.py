@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronolith.functions.columns import epoch_seconds, floor_div, ratio
 from chronolith.operators.grid import Grid
-from chronolith.operators.models import linear_coefficients, linear_value
+from chronolith.operators.models import column_means, linear_coefficients, linear_value
+from chronolith.operators.stats import join_groups
 
 PREDICTION_COLUMNS = ("model", "series_id", "ts", "y_true", "y_pred", "q05", "q50", "q95")
 
@@ -85,7 +86,8 @@ def walk_forward_retrain(df: DataFrame, grid: Grid, xs: Iterable[str], start: st
 
     All folds come out of one job: cross products per series and fold block
     (everything before ``start`` is one block), running sums over the blocks
-    before each fold, one small solve per fold, and a join back.  A series has
+    before each fold, one small solve per fold, and a join back that keeps folds
+    with too little history (NULL forecast).  A series has
     one block row per fold, so the running sum is bounded by the calendar.
     """
     xs, by = list(xs), list(grid.by)
@@ -107,6 +109,6 @@ def walk_forward_retrain(df: DataFrame, grid: Grid, xs: Iterable[str], start: st
         *[F.coalesce(F.sum(n).over(before), F.lit(0.0)) for n in sums]).alias("gram"))
     history = history.where((F.col("_fold") >= 0) & (F.col("gram")[0] > len(xs) + 1))
     coef = linear_coefficients(history, len(xs) + 2, ridge=ridge)
-    return (data.where("_fold >= 0").join(coef, [*by, "_fold"])
+    return (join_groups(data.where("_fold >= 0"), coef, [*by, "_fold"], "left")
             .withColumn("y_pred", linear_value(xs, F.col("beta")))
             .withColumnRenamed("_fold", "fold").drop("beta"))

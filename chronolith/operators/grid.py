@@ -32,7 +32,11 @@ class Grid:
     step: int = HOUR
 
     def step_index(self) -> Column:
-        return step_of(F.col(self.ts), self.step)
+        """Step of a row; a NULL series key ends the query, since joins by series would lose its rows."""
+        step = step_of(F.col(self.ts), self.step)
+        for key in self.by:
+            step = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"NULL in series key {key}")).cast("long")).otherwise(step)
+        return step
 
 
 def span_length(back: int, ahead: int) -> int:
@@ -57,7 +61,7 @@ def with_position(df: DataFrame, grid: Grid, name: str = "pos") -> DataFrame:
                .select(*by, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")))
     inside = Window.partitionBy(*by, "_chunk").orderBy(grid.ts)
     return (chunked.withColumn("_rn", F.row_number().over(inside))
-            .join(offsets, [*by, "_chunk"])
+            .join(offsets, [*by, "_chunk"], "left")
             .withColumn(name, F.col("_offset") + F.col("_rn") - 1)
             .drop("_chunk", "_rn", "_offset"))
 

@@ -29,7 +29,9 @@ INTRADAY_NAME = "intraday"
 RETRAIN_NAME = "mlops"
 DAY_AHEAD_NAME = "day-ahead"
 BENCHMARK_NAMES = ["naïve", "naive", "tso"]
+UNFINISHED_NAMES = ["initial"]
 UNIVARIATE_NAMES = ["univariate", "sarima"]
+UNIVARIATE_SEQUENCE = ["n-hits", "168h"]
 NOT_MULTIVARIATE = ["naïve", "naive", "tso", "leakage", "univariate", "sarima", "sandbox", "god mode"]
 
 
@@ -70,8 +72,8 @@ def first_valid(board: DataFrame, lookups: Sequence[Sequence[str]], by: Iterable
 
 def find_model(board: DataFrame, *terms: str, exact: str | None = None,
                by: Iterable[str] = ("series_id",)) -> DataFrame:
-    """Exact name if given and present, else the first name that contains all terms."""
-    return first_valid(board, [terms] if terms else [], by, exact)
+    """Exact name if given and present, else the first name that contains all terms (the first row, without terms)."""
+    return first_valid(board, [terms], by, exact)
 
 
 def _first_mae(lookups: Sequence[Sequence[str]]) -> Column:
@@ -112,8 +114,8 @@ def model_family(model: Column) -> Column:
 
 def model_kind(model: Column) -> Column:
     """"univariate", "multivariate", or NULL for benchmarks and leakage studies."""
-    return (F.when(name_has_any(model, BENCHMARK_NAMES), F.lit(None).cast("string"))
-            .when(name_has_any(model, UNIVARIATE_NAMES), "univariate")
+    return (F.when(name_has_any(model, BENCHMARK_NAMES + UNFINISHED_NAMES), F.lit(None).cast("string"))
+            .when(name_has_any(model, UNIVARIATE_NAMES) | name_has_all(model, UNIVARIATE_SEQUENCE), "univariate")
             .when(~name_has_any(model, NOT_MULTIVARIATE), "multivariate"))
 
 

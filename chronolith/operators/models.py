@@ -8,6 +8,7 @@ solves run over rows of matrices.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections.abc import Callable, Iterable
@@ -15,6 +16,8 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import NumberFormatException, SparkRuntimeException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -23,14 +26,19 @@ from pyspark.sql.functions import pandas_udf
 
 from chronolith.functions.calendar import cyclical
 from chronolith.functions.columns import epoch_seconds
-from chronolith.operators.stats import exact_quantiles
+from chronolith.operators.stats import exact_quantiles, join_groups
 
 # --- one model for the table ---------------------------------------------------
 
 
 def fit_gbt(train: DataFrame, features: Iterable[str], target: str = "y", loss: str = "squared",
             seed: int = 42, **params) -> PipelineModel:
-    """Boosted trees; ``params`` are GBTRegressor settings such as maxIter, maxDepth, stepSize."""
+    """Boosted trees; ``params`` are GBTRegressor settings such as maxIter, maxDepth, stepSize.
+
+    featureFraction is the share of columns that each split may look at.
+    """
+    if "featureFraction" in params:
+        params["featureSubsetStrategy"] = str(float(params.pop("featureFraction")))
     tree = GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="y_pred", lossType=loss,
                         seed=seed, cacheNodeIds=False, **params)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), tree]).fit(train)
@@ -88,8 +96,15 @@ def _fold_gram(by: list[str], width: int):
     return fold
 
 
-def gram(df: DataFrame, by: Iterable[str], xs: Iterable[str], y: str = "y") -> DataFrame:
-    """(by, gram): upper triangle of [1, xs, y]' [1, xs, y] over complete rows.
+def column_means(df: DataFrame, columns: Iterable[str]) -> list[float]:
+    """Mean of each column over all rows (one row is read back); products are taken around it."""
+    row = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return [0.0 if m is None else m for m in row]
+
+
+def gram(df: DataFrame, by: Iterable[str], xs: Iterable[str], y: str = "y",
+         shift: list[float] | None = None) -> DataFrame:
+    """(by, gram): upper triangle of [1, xs, y]' [1, xs, y] over complete rows, each column less its shift.
 
     Rows are reduced where they are read; only matrices are shuffled, and they
     are summed cell by cell with partial aggregation, so a dominant series costs
@@ -97,7 +112,9 @@ def gram(df: DataFrame, by: Iterable[str], xs: Iterable[str], y: str = "y") -> D
     """
     by, xs = list(by), list(xs)
     width = len(xs) + 2
-    cols = [F.col(f"`{c}`").cast("double").alias(f"z{i}") for i, c in enumerate([*xs, y])]
+    shift = shift or [0.0] * (width - 1)
+    cols = [(F.col(f"`{c}`").cast("double") - F.lit(float(m))).alias(f"z{i}")
+            for i, (c, m) in enumerate(zip([*xs, y], shift))]
     complete = df.select(*by, *cols).where(" AND ".join(f"z{i} IS NOT NULL" for i in range(width - 1)))
     types = {f.name: f.dataType.simpleString() for f in df.select(*by).schema}
     schema = ", ".join([f"`{c}` {types[c]}" for c in by] + ["_g array<double>"])
@@ -116,6 +133,9 @@ def _square(cells, width: int) -> np.ndarray:
 def solve_gram(g: np.ndarray, keep: list[int], ridge: float = 0.0) -> np.ndarray:
     """Coefficients of the kept columns (0 = intercept); the others get 0.
 
+    A column counts as constant where its variance is no more than the rounding of its second moment;
+    columns that depend on others are settled by the rank of the scaled matrix.
+
     Columns are centered and brought to unit scale through the matrix itself, so
     the penalty is per standard deviation and leaves the intercept alone.
     """
@@ -125,7 +145,7 @@ def solve_gram(g: np.ndarray, keep: list[int], ridge: float = 0.0) -> np.ndarray
         return beta
     mean = g[0, :] / n
     cov = g / n - np.outer(mean, mean)
-    cols = [k for k in keep if k > 0 and cov[k, k] > 1e-12 * max(abs(g[k, k] / n), 1e-300)]
+    cols = [k for k in keep if k > 0 and cov[k, k] > 1e-14 * max(abs(g[k, k] / n), 1e-300)]
     if cols:
         sd = np.sqrt(np.diag(cov)[cols])
         a = cov[np.ix_(cols, cols)] / np.outer(sd, sd) + ridge * np.eye(len(cols))
@@ -134,19 +154,26 @@ def solve_gram(g: np.ndarray, keep: list[int], ridge: float = 0.0) -> np.ndarray
     return beta
 
 
-def _solver(width: int):
+def _solver(width: int, shift: list[float]):
+    moved = np.asarray(shift, dtype=float)
+
+    def back(beta: np.ndarray) -> np.ndarray:
+        beta[0] += moved[-1] - beta[1:] @ moved[:-1]
+        return beta
+
     @pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(cells: pd.Series, keep: pd.Series, ridge: pd.Series) -> pd.Series:
-        return pd.Series([solve_gram(_square(c, width), [int(i) for i in k], r)
+        return pd.Series([back(solve_gram(_square(c, width), [int(i) for i in k], r))
                           for c, k, r in zip(cells, keep, ridge)])
     return solve
 
 
 def linear_coefficients(grams: DataFrame, width: int, keep: Column | None = None,
-                        ridge: Column | float = 0.0) -> DataFrame:
+                        ridge: Column | float = 0.0, shift: list[float] | None = None) -> DataFrame:
+    """Coefficients on the raw columns; `shift` is what the matrices' columns were taken around."""
     keep = keep if keep is not None else F.array(*[F.lit(i) for i in range(width - 1)])
     ridge = ridge if isinstance(ridge, Column) else F.lit(float(ridge))
-    return grams.withColumn("beta", _solver(width)("gram", keep, ridge)).drop("gram")
+    return grams.withColumn("beta", _solver(width, shift or [0.0] * (width - 1))("gram", keep, ridge)).drop("gram")
 
 
 def linear_value(xs: Iterable[str], beta: Column) -> Column:
@@ -165,14 +192,16 @@ def fit_panel(train: DataFrame, by: Iterable[str], xs: Iterable[str], y: str = "
               ridge: float = 0.0) -> DataFrame:
     """(by, beta): one least-squares fit per series, all in one job."""
     xs = list(xs)
-    return linear_coefficients(gram(train, by, xs, y), len(xs) + 2, ridge=ridge)
+    shift = column_means(train, [*xs, y])
+    return linear_coefficients(gram(train, by, xs, y, shift), len(xs) + 2, ridge=ridge, shift=shift)
 
 
 def predict_panel(df: DataFrame, coefficients: DataFrame, by: Iterable[str], xs: Iterable[str],
                   name: str = "y_pred") -> DataFrame:
+    """Every row stays; a series without a fit gets NULL, which score_status and the denominators see."""
     by = list(by)
     if by:
-        joined = df.join(coefficients.select(*by, "beta"), by)
+        joined = join_groups(df, coefficients.select(*by, "beta"), by, "left")
     else:
         joined = df.withColumn("beta", coefficients.select("beta").scalar())
     return joined.withColumn(name, linear_value(xs, F.col("beta"))).drop("beta")
@@ -261,39 +290,50 @@ def random_trials(space: dict[str, tuple], n: int, seed: int = 42) -> list[dict]
     return [{name: draw(*spec) for name, spec in space.items()} for _ in range(n)]
 
 
-# Search spaces, wide for clean features and narrow for noisy ones.
+# Search spaces, wide for clean features, narrow for noisy ones, and for one step ahead.
 GBT_SPACE = {"maxDepth": ("int", 4, 12), "maxIter": ("int", 100, 1000), "stepSize": ("log", 1e-3, 0.1),
-             "subsamplingRate": ("float", 0.5, 1.0)}
+             "featureFraction": ("float", 0.5, 1.0)}
 GBT_SPACE_NOISY = {"maxDepth": ("int", 3, 7), "maxIter": ("int", 100, 1000), "stepSize": ("log", 1e-3, 0.1),
-                   "subsamplingRate": ("float", 0.3, 0.7)}
-# Fixed value: score of a trial that could not be fitted.
-FAILED_TRIAL_MAE = 1e9
+                   "featureFraction": ("float", 0.3, 0.7)}
+GBT_SPACE_INTRADAY = {"maxDepth": ("int", 4, 12), "maxIter": ("int", 100, 1000), "stepSize": ("log", 0.01, 0.1),
+                      "featureFraction": ("float", 0.5, 1.0), "subsamplingRate": ("float", 0.5, 1.0)}
 
 
 def time_grid_search(spark: SparkSession, train: DataFrame, val: DataFrame,
                      fit_predict: Callable[..., DataFrame], trials: list[dict], y: str = "y") -> DataFrame:
-    """(trial, params, mae): every trial fitted on train and scored on the later val rows.
+    """(trial, params, mae, error): every trial fitted on train and scored on the later val rows.
 
-    The loop submits one distributed fit per trial; only its error comes back.
-    A failing trial is scored as such and the search goes on.
+    The loop submits one distributed fit per trial; only its error comes back.  Parameters are JSON, so
+    that :func:`refit_champion` can read them.  A fit whose job fails gets NULL and its message and the
+    search goes on; a mistake in the call (an unknown column or parameter) ends it.
     """
     rows = []
     for i, params in enumerate(trials):
+        mae, error = None, None
         try:
             scored = fit_predict(train, val, **params)
             mae = scored.agg(F.avg(F.abs(F.col(y) - F.col("y_pred")))).first()[0]
-        except Exception:  # noqa: BLE001 - a trial must not end the search
-            mae = FAILED_TRIAL_MAE
-        rows.append((i, repr(sorted(params.items())), float(mae if mae is not None else FAILED_TRIAL_MAE)))
-    return spark.createDataFrame(rows, "trial int, params string, mae double")
+        except (Py4JJavaError, SparkRuntimeException, NumberFormatException) as failure:
+            error = str(failure).splitlines()[0][:500]
+        rows.append((i, json.dumps(params, sort_keys=True), mae, error))
+    return spark.createDataFrame(rows, "trial int, params string, mae double, error string")
+
+
+def refit_champion(trials: DataFrame, fit: Callable[..., PipelineModel], full: DataFrame) -> PipelineModel:
+    """The best trial's parameters fitted on the full training range."""
+    best = best_trial(trials, "trial").first()
+    if best is None:
+        raise ValueError("no trial could be fitted")
+    return fit(full, **json.loads(best["params"]))
 
 
 def ridge_search(train: DataFrame, val: DataFrame, by: Iterable[str], xs: Iterable[str], penalties,
                  y: str = "y") -> DataFrame:
     """(by, penalty, mae) for all penalties in one job: one pass over train, one over val."""
     by, xs = list(by), list(xs)
-    grams = gram(train, by, xs, y).withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties])))
-    coef = linear_coefficients(grams, len(xs) + 2, ridge=F.col("penalty"))
+    shift = column_means(train, [*xs, y])
+    grams = gram(train, by, xs, y, shift).withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties])))
+    coef = linear_coefficients(grams, len(xs) + 2, ridge=F.col("penalty"), shift=shift)
     return _score_variants(val, coef, by, "penalty", xs, y)
 
 
@@ -310,8 +350,9 @@ def ablation_sets(train: DataFrame, val: DataFrame, by: Iterable[str], sets: dic
                         F.array(*[F.lit(xs.index(c) + 1) for c in cols]).alias("_keep"))
                for name, cols in sets.items()]
     complete = train.where(" AND ".join(f"`{c}` IS NOT NULL" for c in xs))
-    grams = gram(complete, by, xs, y).select(*by, "gram", F.inline(F.array(*entries)))
-    coef = linear_coefficients(grams, len(xs) + 2, keep=F.col("_keep")).drop("_keep")
+    shift = column_means(complete, [*xs, y])
+    grams = gram(complete, by, xs, y, shift).select(*by, "gram", F.inline(F.array(*entries)))
+    coef = linear_coefficients(grams, len(xs) + 2, keep=F.col("_keep"), shift=shift).drop("_keep")
     return _score_variants(val, coef, by, "column_set", xs, y)
 
 
@@ -327,8 +368,8 @@ def _score_variants(val: DataFrame, coef: DataFrame, by: list[str], variant: str
 
 
 def best_trial(trials: DataFrame, *ties: str, by: Iterable[str] = (), mae: str = "mae") -> DataFrame:
-    """The row with the lowest error (per series), ties by the given columns."""
-    by = list(by)
+    """The row with the lowest error (per series), ties by the given columns; failed trials (NULL) are no candidates."""
+    by, trials = list(by), trials.where(F.col(mae).isNotNull())
     others = [c for c in trials.columns if c not in by]
     best = trials.groupBy(*by).agg(F.min_by(F.struct(*others), F.struct(mae, *ties)).alias("_b"))
     return best.select(*by, "_b.*")

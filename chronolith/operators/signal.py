@@ -67,7 +67,7 @@ def centered(df: DataFrame, grid: Grid, value: str = "y") -> DataFrame:
               .select(*by, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
                       (F.sum("_sum").over(whole) / F.sum("_n").over(whole)).alias("_mean")))
     inside = Window.partitionBy(*by, "_chunk").orderBy(grid.ts)
-    return (chunked.withColumn("_rn", F.row_number().over(inside)).join(chunks, [*by, "_chunk"])
+    return (chunked.withColumn("_rn", F.row_number().over(inside)).join(chunks, [*by, "_chunk"], "left")
             .withColumn("_pos", F.col("_offset") + F.col("_rn") - 1)
             .withColumn("_d", F.col(value) - F.col("_mean"))
             .drop("_chunk", "_rn", "_offset", "_mean"))
@@ -245,8 +245,8 @@ def _adf_solve(max_lag: int):
     @pandas_udf(ADF_RESULT)
     def solve(grams: pd.Series, head: pd.Series) -> pd.DataFrame:
         width = max_lag + 3
-        rows = [_adf_one(np.sum([np.asarray(g, dtype=float) for g in gs], axis=0).reshape(width, width),
-                         np.asarray(h, dtype=float), max_lag) for gs, h in zip(grams, head)]
+        rows = [_adf_one(np.asarray(g, dtype=float).reshape(width, width), np.asarray(h, dtype=float), max_lag)
+                for g, h in zip(grams, head)]
         return pd.DataFrame(rows, columns=["adf_stat", "p_value", "used_lag", "n_obs", *TAU_CRITICAL]
                             ).astype({"used_lag": "Int32", "n_obs": "Int64"})
     return solve
@@ -308,8 +308,8 @@ def span_tests(df: DataFrame, grid: Grid, value: str, adf_lag: int | None = None
     aggs = [F.sum("n_own").cast("double").alias("_n")]
     out = []
     if adf_lag is not None:
-        aggs += [F.collect_list("_gram").alias("_grams"), F.any_value("_head", ignoreNulls=True).alias("_head")]
-        out.append(_adf_solve(adf_lag)("_grams", "_head").alias("adf"))
+        aggs.append(F.any_value("_head", ignoreNulls=True).alias("_head"))
+        out.append(_adf_solve(adf_lag)("_gram", "_head").alias("adf"))
     if kpss_lag is not None:
         spans = with_carry(spans, grid, lambda before, after: {
             "_base": F.coalesce(F.sum(F.col("_run")[0]).over(before), F.lit(0.0))})
@@ -322,7 +322,18 @@ def span_tests(df: DataFrame, grid: Grid, value: str, adf_lag: int | None = None
                  F.max("lags").alias("lags")]
         # eta = sum(S^2) / n^2 and the long-run variance is _lrv / n.
         out += [F.try_divide(F.col("_eta"), F.col("_n") * F.col("_lrv")).alias("kpss_stat"), F.col("lags")]
-    return spans.groupBy(*by).agg(*aggs).select(*by, *out)
+    tests = spans.groupBy(*by).agg(*aggs)
+    if adf_lag is not None:
+        total = _summed(spans, by, "_gram")
+        tests = tests.join(total, by) if by else tests.withColumn("_gram", total.scalar())
+    return tests.select(*by, *out)
+
+
+def _summed(spans: DataFrame, by: list[str], matrix: str) -> DataFrame:
+    """(by, matrix): the spans' matrices added cell by cell, with partial sums before the shuffle."""
+    cells = (spans.select(*by, F.posexplode(matrix).alias("_i", "_v")).groupBy(*by, "_i").agg(F.sum("_v").alias("_v")))
+    return cells.groupBy(*by).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda e: e["_v"]).alias(matrix))
 
 
 def adf_test(df: DataFrame, grid: Grid, value: str = "y", max_lag: int = 48) -> DataFrame:
@@ -334,13 +345,20 @@ def adf_test(df: DataFrame, grid: Grid, value: str = "y", max_lag: int = 48) ->
     return span_tests(df, grid, value, adf_lag=max_lag).select(*grid.by, "adf.*")
 
 
+def short_lags(n: int) -> int:
+    """Autocovariances that the bandwidth rule needs for a series of n rows."""
+    return max(1, math.floor(n ** (2.0 / 9.0) + 1e-12))
+
+
 def _auto_bandwidth(df: DataFrame, grid: Grid, value: str) -> DataFrame:
     """(series, lags) by the data-driven rule of Hobijn et al., from n^(2/9) autocovariances.
 
-    64 short lags serve series of up to 10^8 rows.
+    The longest series sets how many are computed (one number is read back).
     """
     n = F.col("n").cast("double")
-    gamma = autocovariance(df, grid, value, 64)
+    longest = (df.where(F.col(value).isNotNull()).groupBy(*grid.by).agg(F.count("*").alias("n"))
+               .agg(F.max("n")).first()[0] or 0)
+    gamma = autocovariance(df, grid, value, short_lags(longest))
     cut = F.floor(F.pow(n, F.lit(2.0 / 9.0)) + F.lit(1e-12))
     inner = F.when((F.col("lag") >= 1) & (F.col("lag") <= cut), F.col("gamma"))
     zero = F.lit(0.0)

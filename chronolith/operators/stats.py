@@ -16,13 +16,20 @@ from chronolith.operators.grid import Grid, with_position
 # --- reshape -----------------------------------------------------------------
 
 def pivot_wide(df: DataFrame, keys: Iterable[str], entity: str, measures: Iterable[str],
-               entities: Iterable[str], extra: dict[str, Column] | None = None) -> DataFrame:
+               entities: Iterable[str] | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """measure_Entity columns, plus plain aggregates of the same group, in one pass.
 
-    The entity list is an argument, so no job is spent on finding it.  Expects
-    one row per (keys, entity).
+    Without a list the entities are found by one small aggregate; with a list, an
+    entity that is not on it ends the query with an error instead of losing its
+    values.  Expects one row per (keys, entity).
     """
-    cells = [F.max(F.when(F.col(entity) == e, F.col(m))).alias(f"{m}_{e.replace(' ', '_')}")
+    if entities is None:
+        found = df.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.lit(1)).select(entity).collect()
+        entities = sorted(r[0] for r in found)
+    entities, who = list(entities), F.col(entity)
+    known = F.when(who.isNull() | who.isin(entities), who).otherwise(
+        F.raise_error(F.concat(F.lit("unlisted entity: "), who.cast("string"))))
+    cells = [F.max(F.when(known == e, F.col(m))).alias(f"{m}_{e.replace(' ', '_')}")
              for m in measures for e in entities]
     return df.groupBy(*keys).agg(*cells, *[c.alias(n) for n, c in (extra or {}).items()])
 
@@ -35,6 +42,14 @@ def entity_mean(df: DataFrame, keys: Iterable[str], value: str, name: str) -> Da
     return df.groupBy(*keys).agg(F.avg(value).alias(name))
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
+    """Join by keys of which NULL is one value among others; the keys come from the left."""
+    keys = list(keys)
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys]
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 # --- exact quantiles ------------------------------------------------------------
 
 # Relative rank error of the sketch that places the value brackets.
@@ -63,7 +78,7 @@ def exact_quantiles(df: DataFrame, groups: Iterable[str], value: str, qs: Iterab
     marks = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-margin, margin)})
     cuts = (df.where(F.col(value).isNotNull()).groupBy(*groups)
             .agg(F.percentile_approx(F.col(value).cast("double"), marks, SKETCH_ACCURACY).alias("_cuts")))
-    placed = counts.join(cuts, groups) if groups else counts.withColumn("_cuts", cuts.scalar())
+    placed = join_groups(counts, cuts, groups) if groups else counts.withColumn("_cuts", cuts.scalar())
     below = sum((F.col("_v") > F.col("_cuts")[i]).cast("int") for i in range(len(marks)))
     placed = placed.withColumn("_b", below).drop("_cuts")
     totals = placed.groupBy(*groups, "_b").agg(F.sum("_c").alias("_bc"))
@@ -89,7 +104,7 @@ def exact_quantiles(df: DataFrame, groups: Iterable[str], value: str, qs: Iterab
     inside = (Window.partitionBy(*groups, "_b").orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, 0))
     # Spread by range, not by group: see grid.spread_spans.
-    ranked = (placed.join(wanted, [*groups, "_b"]).repartition(*groups, "_b")
+    ranked = (join_groups(placed, wanted, [*groups, "_b"]).repartition(*groups, "_b")
               .withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
               .withColumn("_first", F.col("_end") - F.col("_c")))
 
@@ -115,7 +130,7 @@ def boxplot_stats(df: DataFrame, groups: Iterable[str], value: str) -> DataFrame
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col("_v")
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
-    return (counts.join(q, groups).groupBy(*groups, "n", "q1", "median", "q3")
+    return (join_groups(counts, q, groups).groupBy(*groups, "n", "q1", "median", "q3")
             .agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
                  F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).cast("long").alias("n_outliers")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chronolith.functions.columns import nan_to_null
 from chronolith.operators.grid import (
     Grid, over_spans, spread_spans, span_arrays, span_length, with_carry, with_position)
 
@@ -11,9 +12,6 @@ from chronolith.operators.grid import (
 DAY_AHEAD_LAGS = (24, 25, 26, 168, 169, 170)
 INTRADAY_LAGS = (1, 2, 3)
 
-# Frames wider than this are evaluated as a difference of running sums.
-WIDE_FRAME = 64
-
 
 def lag_columns(frame, value: str, lags, prefix: str) -> dict[str, Column]:
     return {f"{prefix}{k}": frame.at(value, -k) for k in lags}
@@ -75,7 +73,7 @@ def rolling_lagged(df: DataFrame, grid: Grid, value: str = "y", window: int = 24
 
 def _running_stage(value: str):
     def stage(f):
-        y = F.col(value)
+        y = nan_to_null(F.col(value).cast("double"))
         return {"_cum": f.running(F.sum, F.coalesce(y, F.lit(0.0))), "_cnt": f.running(F.count, y)}
     return stage
 
@@ -100,12 +98,20 @@ def centered_ma(df: DataFrame, grid: Grid, value: str = "y", windows=(168, 720,
     return out.drop("_cum", "_cnt")
 
 
-def difference(df: DataFrame, grid: Grid, value: str = "y", lags=(24, 1), mode: str = "row") -> DataFrame:
+def difference(df: DataFrame, grid: Grid, value: str = "y", lags=(24, 1), mode: str = "row",
+               steps: bool = False) -> DataFrame:
     """Apply differences one after another: y - y[k1], then the same on the result.
 
     The nested differences expand to one signed sum of lags, so a single window
-    pass serves any chain.
+    pass serves any chain.  With ``steps`` the shorter chains (k1), (k1, k2), ...
+    become columns too.
     """
+    chains = [lags[:n] for n in range(1 if steps else len(lags), len(lags) + 1)]
+    return over_spans(df, grid, lambda f: {"diff_" + "_".join(map(str, c)): _signed_lags(f, value, c) for c in chains},
+                      back=sum(lags), mode=mode)
+
+
+def _signed_lags(f, value: str, lags) -> Column:
     terms = {0: 1}
     for k in lags:
         shifted: dict[int, int] = {}
@@ -114,14 +120,11 @@ def difference(df: DataFrame, grid: Grid, value: str = "y", lags=(24, 1), mode:
             shifted[lag + k] = shifted.get(lag + k, 0) - sign
         terms = shifted
 
-    def stage(f):
-        total = None
-        for lag, sign in sorted(terms.items()):
-            part = f.at(value, -lag) * sign
-            total = part if total is None else total + part
-        return {"diff_" + "_".join(str(k) for k in lags): total}
-
-    return over_spans(df, grid, stage, back=sum(lags), mode=mode)
+    total = None
+    for lag, sign in sorted(terms.items()):
+        part = f.at(value, -lag) * sign
+        total = part if total is None else total + part
+    return total
 
 
 def seasonal_naive(df: DataFrame, grid: Grid, value: str = "y", period: int = 168,
@@ -153,7 +156,7 @@ def forward_fill(df: DataFrame, grid: Grid, columns, suffix: str = "") -> DataFr
     carried = carried.drop(*[f"_end_{i}" for i in range(len(columns))])
     inside = (Window.partitionBy(*grid.by, "_span").orderBy("_step")
               .rowsBetween(Window.unboundedPreceding, 0))
-    out = spread.join(carried, [*grid.by, "_span"])
+    out = spread.join(carried, [*grid.by, "_span"], "left")
     out = out.withColumns({
         c + suffix: F.coalesce(F.last(quoted[c], ignorenulls=True).over(inside), F.col(f"_carry_{i}"))
         for i, c in enumerate(columns)})
@@ -173,7 +176,7 @@ def interpolate_linear(df: DataFrame, grid: Grid, value: str = "y", name: str |
         "_right": F.last("_lo", ignorenulls=True).over(after)}).drop("_lo", "_hi")
     w = Window.partitionBy(*grid.by, "_span")
     so_far = (Window.unboundedPreceding, 0)
-    out = (spread.join(carried, [*grid.by, "_span"])
+    out = (spread.join(carried, [*grid.by, "_span"], "left")
            .withColumn("_p", F.coalesce(
                F.last(point, ignorenulls=True).over(w.orderBy("_step").rowsBetween(*so_far)), "_left"))
            .withColumn("_n", F.coalesce(
@@ -232,8 +235,10 @@ def sequence_windows(df: DataFrame, grid: Grid, value: str = "y", input_len: int
     low = F.greatest(F.col("own"), F.lit(input_len - 1))
     low = low + F.pmod(F.lit(input_len - 1) - F.col("first") - low, F.lit(stride))
     high = F.least(F.col("own") + F.col("n_own"), F.size("values") - output_len) - 1
-    ready = (arrays.withColumns({"_low": low, "_high": high}).where("_low <= _high")
-             .select(*grid.by, "first", "values", F.explode(F.sequence("_low", "_high", F.lit(stride))).alias("_i")))
-    return ready.select(*grid.by, (F.col("first") + F.col("_i")).alias("origin"),
-                        F.slice("values", (F.col("_i") - (input_len - 2)).cast("int"), input_len).alias("chunk_in"),
-                        F.slice("values", (F.col("_i") + 2).cast("int"), output_len).alias("chunk_out"))
+    ready = arrays.withColumns({"_low": low, "_high": high}).where("_low <= _high")
+    # Chunks are cut inside one expression, so no row beside them carries the array of its span.
+    chunks = F.transform(F.sequence("_low", "_high", F.lit(stride)), lambda i: F.struct(
+        (F.col("first") + i).alias("origin"),
+        F.slice("values", (i - (input_len - 2)).cast("int"), input_len).alias("chunk_in"),
+        F.slice("values", (i + 2).cast("int"), output_len).alias("chunk_out")))
+    return ready.select(*grid.by, F.inline(chunks))

@@ -75,12 +75,12 @@ def read_projected(spark: SparkSession, path: str, schema: T.StructType, columns
 def read_master(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Master table from parquet, or from CSV when a schema is given."""
     if schema is None:
-        return spark.read.parquet(path)
+        return without_nan(spark.read.parquet(path))
     return without_nan(spark.read.schema(schema).csv(path, header=True))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return without_nan(spark.read.parquet(path))
 
 
 # --- writers ------------------------------------------------------------------------
@@ -120,8 +120,10 @@ def cache_predictions(spark: SparkSession, path: str, compute: Callable[[], Data
     return spark.read.parquet(path)
 
 
-def append_leaderboard(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_leaderboard(df: DataFrame, path: str, run: str) -> None:
+    """File the results of a run; filing the same run again replaces its rows."""
+    (df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run").parquet(path))
 
 
 def materialize(df: DataFrame, spark: SparkSession) -> DataFrame:

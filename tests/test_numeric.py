@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from chronolith.operators import backtest, grid, models, signal, stats, windows
@@ -269,9 +270,91 @@ def test_random_trials_and_failures(spark):
 
     def fit(train, val, bias):
         if bias > 1:
-            raise ValueError("does not fit")
+            return val.withColumn("y_pred", F.raise_error(F.lit("does not fit")).cast("double"))
         return val.withColumn("y_pred", F.col("y") + bias)
     board = models.time_grid_search(spark, df, df, fit, [{"bias": 1.0}, {"bias": 2.0}, {"bias": 0.5}])
     best = models.best_trial(board, "trial").first()
     assert best["trial"] == 2 and best["mae"] == 0.5
-    assert board.where("trial = 1").first()["mae"] == models.FAILED_TRIAL_MAE
+    failed = board.where("trial = 1").first()
+    assert failed["mae"] is None and "does not fit" in failed["error"]
+    with pytest.raises(AnalysisException):  # a mistake in the call is no failed trial
+        models.time_grid_search(spark, df, df, lambda a, b: b.select("no such column"), [{}])
+    assert models.refit_champion(board, lambda full, bias: (full.count(), bias), df) == (10, 0.5)
+
+
+def test_bandwidth_lags_follow_the_longest_series():
+    assert signal.short_lags(10) == 1 and signal.short_lags(10 ** 9) == 100
+
+
+def test_holidays_cover_the_years_of_the_data(spark):
+    from chronolith.functions.calendar import holidays_for, with_holiday
+
+    days = spark.createDataFrame([(datetime(1961, 12, 25),), (datetime(2187, 1, 1),), (datetime(2050, 7, 3),)], "ts timestamp_ntz")
+    got = {r.ts.year: r.is_holiday for r in with_holiday(days, holidays_for(days)).collect()}
+    assert got == {1961: 1, 2187: 1, 2050: 0}
+
+
+def test_pivot_loses_no_entity(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "zz", 5.0), (2, None, 7.0)], "k int, e string, v double")
+    found = stats.pivot_wide(rows, ["k"], "e", ["v"])
+    assert {r.k: r.v_zz for r in found.collect()} == {1: None, 2: 5.0}
+    with pytest.raises(Exception, match="unlisted entity"):
+        stats.pivot_wide(rows, ["k"], "e", ["v"], ["a"]).collect()
+
+
+def test_rows_without_a_fit_stay(spark):
+    rng = np.random.default_rng(3)
+    df = panel(spark, {"a": rng.normal(size=100), "b": rng.normal(size=100)}).withColumn("x", F.col("y") * 2)
+    fitted = models.fit_panel(df.where("series_id = 'a'"), ["series_id"], ["x"])
+    out = models.predict_panel(df, fitted, ["series_id"], ["x"])
+    assert out.count() == 200 and out.where("series_id = 'b' AND y_pred IS NULL").count() == 100
+    folds = backtest.walk_forward_retrain(df, H, ["x"], "2018-01-01 00:00:00")
+    assert folds.count() == 200 and folds.where("fold = 0 AND y_pred IS NOT NULL").count() == 0
+
+
+def test_large_offsets_keep_their_coefficient(spark):
+    x = 1e9 + 0.1 * np.arange(200)
+    df = panel(spark, {"a": 3.0 + 2.0 * (x - 1e9)}).withColumn("x", F.lit(1e9) + (F.unix_seconds(F.col("ts").cast("timestamp"))
+                                                                          - F.unix_seconds(F.lit("2018-01-01").cast("timestamp"))) / 36000.0)
+    out = models.predict_panel(df, models.fit_panel(df, ["series_id"], ["x"]), ["series_id"], ["x"])
+    assert out.where(F.abs(F.col("y") - F.col("y_pred")) > 1e-3).count() == 0
+
+
+@pytest.mark.parametrize("n", [12, 13])
+def test_linear_value_of_narrow_and_wide_designs(spark, n):
+    df = spark.range(3).select(*[(F.col("id") + i).cast("double").alias(f"x{i}") for i in range(n)])
+    beta = F.array(*[F.lit(float(k)) for k in range(n + 1)])
+    got = df.select("x0", models.linear_value(df.columns, beta).alias("v")).collect()
+    assert all(abs(r.v - sum((i + 1) * (r.x0 + i) for i in range(n))) < 1e-9 for r in got)
+
+
+def test_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    got = {r.g: r.q_0 for r in stats.exact_quantiles(rows, ["g"], "v", [0.5]).collect()}
+    assert got == {None: 2.0, "a": 5.0}
+    df = spark.createDataFrame([(None, T0, 1.0), ("a", T0, 2.0)], "series_id string, ts timestamp_ntz, y double")
+    with pytest.raises(Exception, match="NULL in series key"):
+        windows.row_ordinal(df, H).collect()
+
+
+def test_nan_does_not_spread(spark):
+    xs = np.arange(20.0)
+    xs[5] = np.nan
+    out = windows.centered_ma(panel(spark, {"a": xs}), H, windows=(3,)).orderBy("ts").collect()
+    assert all(r.ma_3 is None for r in out[4:7]) and out[10].ma_3 == 10.0 and out[18].ma_3 == 18.0
+
+
+def test_names_of_the_comparison(spark):
+    from chronolith.operators import leaderboard
+
+    rows = [("N-HiTS 168h", "day-ahead", 5.0), ("LightGBM Initial", "day-ahead", 1.0), ("LightGBM Improved", "day-ahead", 7.0)]
+    board = spark.createDataFrame([("s", i, *r) for i, r in enumerate(rows)], "series_id string, ord int, model string, horizon string, mae double")
+    r = leaderboard.horizon_flip(board).first()
+    assert (r.univariate, r.multivariate) == (5.0, 7.0)
+    assert leaderboard.find_model(board, exact="absent").first().model == "N-HiTS 168h"
+
+
+def test_trees_take_a_share_of_columns(spark):
+    rng = np.random.default_rng(4)
+    df = panel(spark, {"a": rng.normal(size=60)}).withColumns({"x1": F.col("y") * 2, "x2": F.lit(1.0)})
+    assert models.fit_gbt(df, ["x1", "x2"], maxIter=2, featureFraction=0.5).stages[1].getFeatureSubsetStrategy() == "0.5"
