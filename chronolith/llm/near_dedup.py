@@ -2,8 +2,8 @@
 candidate edges, and confirmation on whole shingle sets.
 
 Equal sets are one class first, so copies never meet each other.  In each bucket one class is the centre and
-is compared with the others; what is not yet in its component stays and gets further centres in the next
-round, until every pair of classes that share a bucket is in one component or has been compared.
+is compared with those outside its component; what stays apart gets other centres in the next rounds.  What
+the stars leave is compared exhaustively, so no link between classes that share a bucket is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ BINS = 210
 MISS = 1e-7
 #: Members of a star that are confirmed in one group.
 GROUP = 256
+#: Rounds of stars before what is still apart is compared exhaustively.
+STARS = 3
 #: Bits of the filter that tells which classes share a bucket (fixed size, 1 MB).
 FILTER_BITS = 1 << 23
 EMPTY = np.uint64(2**64 - 1)
@@ -196,7 +198,6 @@ def components(edges: DataFrame) -> DataFrame:
     a node with very many neighbours is split by the skew join and never collected.
     """
     edges = stored(edges.select(F.greatest("centre", "other").alias("hi"), F.least("centre", "other").alias("lo")).distinct(), "edges")
-    before = None
     while True:
         both = edges.select("hi", "lo").union(edges.select(F.col("lo"), F.col("hi"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -205,10 +206,33 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                  .union(small_low.select("u", "m")).distinct())
         edges = stored(small.select(F.col("u").alias("hi"), F.col("v").alias("lo")), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.groupBy(F.col("hi").alias("c")).agg(F.min("lo").alias("root"))
-        before = now
+        # Done when all are stars: no node has two smaller neighbours, no centre has one.
+        roles = (edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"))
+                 .union(edges.select(F.col("lo"), F.lit(0))).groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")))
+        if roles.where("up > 1 OR (up = 1 AND n > 1)").isEmpty():
+            return edges.select(F.col("hi").alias("c"), F.col("lo").alias("root"))
+
+
+def candidates(entries: DataFrame, step: int, percent: int) -> DataFrame:
+    """Distinct pairs (centre, other) to confirm, between components and of sizes that can reach the similarity.
+
+    Each of the first STARS steps makes one star for each bucket: its centre is a class of the component that has
+    most entries there, another one in each step, and its arms are the classes of other components.  The
+    last step is exhaustive: every class outside that component meets all others of the bucket, so
+    afterwards each pair that shares a bucket is in one component or has been compared.
+    """
+    parts = entries.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.min_by(
+        F.struct("c", "n"), F.struct(F.xxhash64("c", F.lit(step)), F.col("c"))).alias("x"))
+    tops = parts.groupBy("bucket").agg(F.max_by(F.struct("root", "x"), F.struct(F.col("k"), -F.col("root"))).alias("top"))
+    other_component = (F.col("root") != F.col("root1")) & (100 * F.least("n", "n1") >= percent * F.greatest("n", "n1"))
+    if step < STARS:
+        heads = tops.select("bucket", F.col("top.x.c").alias("centre"), F.col("top.x.n").alias("n1"), F.col("top.root").alias("root1"))
+    else:
+        outside = entries.join(tops.select("bucket", F.col("top.root").alias("main")), "bucket").where("root <> main")
+        heads = outside.select("bucket", F.col("c").alias("centre"), F.col("n").alias("n1"), F.col("root").alias("root1"), "main")
+        other_component &= (F.col("root") == F.col("main")) | (F.col("c") < F.col("centre"))
+    pairs = entries.alias("e").join(heads.alias("h"), (F.col("e.bucket") == F.col("h.bucket")) & other_component)
+    return pairs.select(F.least("c", "centre").alias("centre"), F.greatest("c", "centre").alias("other")).distinct()
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
@@ -226,33 +250,26 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     # A class is named by the first row that has its set.
     classes = stored(sketch.where("n > 0").groupBy("a", "b").agg(F.min("row").alias("c"), F.min("doc_id").alias("least"),
                                                                  F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    entries = classes.select("c", "n", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    entries = stored(entries.join(shared, "bucket").select("bucket", "c", "n"), "entries")
+    buckets = classes.select("c", "n", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    entries = stored(buckets.join(shared, "bucket").select("bucket", "c", "n", F.col("c").alias("root")), "entries")
     active = classes.join(entries.select("c").distinct(), "c", "left_semi").select("a", "b", "c")
-    links, centres = None, 1
+    links = roots = None
     if not entries.isEmpty():
         sets = whole_sets(docs, text, width, active)
-    while not entries.isEmpty():
-        # Centres: the smallest class of each of `centres` parts of a bucket.
-        heads = entries.groupBy("bucket", F.pmod(F.xxhash64("c", F.lit(centres)), F.lit(centres)).alias("part")).agg(
-            F.min(F.struct("c", "n")).alias("x")).select("bucket", F.col("x.c").alias("centre"), F.col("x.n").alias("n1"))
-        heads = stored(heads, "heads")
-        pairs = entries.join(heads, "bucket").where("c <> centre AND 100 * least(n, n1) >= %d * greatest(n, n1)" % percent)
-        if links is not None:
-            pairs = (pairs.join(roots.withColumnRenamed("root", "r1"), "c", "left")
-                     .join(roots.select(F.col("c").alias("centre"), F.col("root").alias("r2")), "centre", "left")
-                     .where(F.coalesce("r1", "c") != F.coalesce("r2", "centre")))
-        tested = pairs.select(F.least("c", "centre").alias("centre"), F.greatest("c", "centre").alias("other")).distinct()
-        found = stored(confirm(stored(tested, "stars"), sets, percent), "links")
+    for step in range(STARS + 1):
+        if entries.isEmpty():
+            break
+        found = stored(confirm(stored(candidates(entries, step, percent), "stars"), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
+        if step == STARS:
+            roots = components(links)
+            break
         roots = components(links)
-        # A centre's pairs are settled; so is a bucket whose classes are in one component.
-        left = entries.join(heads.select("bucket", F.col("centre").alias("c")), ["bucket", "c"], "left_anti")
-        left = left.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-        open_buckets = left.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-        entries = stored(left.join(open_buckets, "bucket", "left_semi").select("bucket", "c", "n"), "entries")
-        centres *= 4
+        now = entries.drop("root").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+        # A bucket whose classes are in one component is settled.
+        open_buckets = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+        entries = stored(now.join(open_buckets, "bucket", "left_semi").select("bucket", "c", "n", "root"), "entries")
     if links is None:
         named = classes.select("a", "b", F.col("least").alias("component_id"))
     else:
