@@ -140,13 +140,21 @@ def words(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, s.offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+def running_hash(data: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Running sums out of which span_hashes takes the hash of any span of the bytes."""
+    power, _ = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_FOLDED if fold else _TABLE)[data] * power[:len(data)], out=total[1:])
+    return total
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True,
+                total: np.ndarray | None = None) -> np.ndarray:
     """64-bit hash of the bytes of each span; with fold, A-Z count as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _TABLE)[data] * power[:len(data)], out=total[1:])
+    total = running_hash(data, fold) if total is None else total
+    inverse = _powers(len(data) + 1)[1]
     raw = (total[ends] - total[starts]) * inverse[starts]
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

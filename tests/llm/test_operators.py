@@ -295,11 +295,9 @@ def test_sampling_follows_the_lattice():
     import public_tokenizers
 
     v = ps.Vocabulary(public_tokenizers.path(ps.MODEL), 1.0)
-    lattices = ps.Lattices(v)
-    lattices.add(1, " hello")
-    lattices.refresh()
-    n = 60_000
-    flat, count = ps.sample(lattices, np.full(n, lattices.last_node[1]), common.mix(np.arange(n, dtype=np.uint64)))
+    n, raw = 60_000, np.frombuffer(b" other hello", np.uint8)
+    lattices = ps.Lattices(v, raw, np.array([0, 6]), np.array([6, 12]))
+    flat, count = ps.sample(lattices, np.full(n, lattices.end[1]), common.mix(np.arange(n, dtype=np.uint64)))
     border = np.concatenate([[0], np.cumsum(count)])
     seen = {}
     for i in range(n):
@@ -312,7 +310,7 @@ def test_sampling_follows_the_lattice():
         for j in range(1, len(x) + 1):
             if x[:j] in v.weight:
                 for rest, p in paths(x[j:]):
-                    yield (v.weight[x[:j]][0], *rest), p * v.weight[x[:j]][1]
+                    yield (v.weight[x[:j]][0], *rest), p * np.exp(v.weight[x[:j]][1])
     weights = dict(paths(" hello"))
     total = sum(weights.values())
     assert set(seen) <= set(weights) and all(abs(seen.get(k, 0) / n - w / total) < 0.01 for k, w in weights.items())
