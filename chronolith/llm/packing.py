@@ -7,6 +7,7 @@ slot by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,31 +23,61 @@ TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 END_ID = 0
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
-MEMORY_WORDS = 250_000
-SPACES = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
+MEMORY_WORDS = 400_000
+#: Between words that are encoded together.  Python splits at these controls, the tokenizer does not.
+CONTROLS, MARK = "\x1c\x1d\x1e\x1f", "\x1d"
+SPACES = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def words_of(text: str) -> list[str]:
+    if any(c in text for c in CONTROLS):
+        return [w for w in SPACES.split(text) if w]
+    return text.split()
 
 
 class WordIds:
     """Ids of words as little-endian bytes, each distinct word given to the tokenizer once.
 
     The tokenizer drops white space and splits at it before anything else, so the ids of a text are those
-    of its words in turn.
+    of its words in turn.  It also parts letters from a full stop or comma after them and ignores case, so
+    most words share the ids of their bare form.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), {}
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+        self.tail = {c: self._ids([c])[0] for c in ".,"}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words without the mark, encoded together."""
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts, raw = (np.flatnonzero(ids == self.mark) * 4).tolist(), ids.tobytes()
+        return [raw[a:b] for a, b in zip([0] + [c + 4 for c in cuts], cuts + [len(raw)])]
 
     def learn(self, words: set[str]) -> None:
         unknown = [w for w in words if w not in self.memory]
         if len(self.memory) + len(unknown) > MEMORY_WORDS:
             self.memory.clear()
             unknown = list(words)
-        for i in range(0, len(unknown), 4096):
-            part = unknown[i:i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.memory[w] = np.array(e.ids, "<u4").tobytes()
+        bare = {}
+        for w in unknown:
+            tail = w[-1] in self.tail and len(w) > 1 and w[-2].isalpha()
+            form = w[:-1] if tail else w
+            bare[w] = (form.lower() if form.isascii() and form.isalpha() else form, self.tail[w[-1]] if tail else b"")
+        new = [f for f in {f for f, _ in bare.values()} if f not in self.memory and MARK not in f]
+        found = {}
+        for i in range(0, len(new), 64):
+            part = new[i:i + 64]
+            found.update(zip(part, self._ids(part)))
+        for w, (form, tail) in bare.items():
+            ids = found.get(form)
+            if ids is None:
+                ids = self.memory.get(form)
+            if ids is None:
+                ids = np.array(self.tokenizer.encode(form, add_special_tokens=False).ids, "<u4").tobytes()
+            self.memory[w] = ids + tail
 
     def __call__(self, words: list[str]) -> bytes:
         self.learn(set(words))
@@ -66,7 +97,7 @@ def cut_pieces(docs: DataFrame, path: str, limit: int, doc_id: str, text: str) -
                 part = batch.slice(at, 256)
                 rows = []
                 for key, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encode([w for w in (value or "").translate(SPACES).split(" ") if w])
+                    ids = encode(words_of(value or ""))
                     ids += END_ID.to_bytes(4, "little")
                     for start in range(0, len(ids) // 4, limit):
                         own = ids[4 * start:4 * (start + limit)]
