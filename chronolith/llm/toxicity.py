@@ -182,6 +182,24 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["term", "is_stem", "toxic", "clean"])
 
 
+def without_covered(found: list[tuple[str, bool, float]]) -> list[tuple[str, bool, float]]:
+    """The (term, is_stem, log odds) that no stem covers.
+
+    A stem covers what goes on after it with log odds about as high, and its own whole word with lower ones.  A term
+    that is also recognised misspelt is covered only by a stem that is so too: one of more than
+    MIN_FUZZY letters matches each of its misspellings, a shorter one only those that leave the stem as it is.
+    """
+    stems = {term: odds for term, is_stem, odds in found if is_stem}
+
+    def covered(term, is_stem, odds):
+        fuzzy = len(term) > MIN_FUZZY if is_stem else len(term) >= MIN_FUZZY
+        least = MIN_FUZZY + 1 if fuzzy else min(STEM_LENGTHS)
+        return (any(stems.get(term[:n], 0) > odds - 0.3 for n in range(least, len(term)))
+                or not is_stem and not fuzzy and stems.get(term, 0) > odds)
+
+    return [x for x in found if not covered(*x)]
+
+
 def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], np.ndarray, tuple[int, int]]:
     """Terms, their log odds, and the numbers of toxic and clean texts; the driver reads MAX_TERMS rows at most."""
     counts = (sample.mapInArrow(_term_counts, "term string, is_stem boolean, toxic long, clean long")
@@ -192,10 +210,8 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], np.ndarray
     odds = F.log((F.col("a") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
     best = (counts.where("term <> ''").select("term", "is_stem", odds.alias("odds"), (odds * F.sqrt("a")).alias("z"))
             .where("odds > 1 AND z > 6").orderBy(F.desc("z"), "term", "is_stem").limit(MAX_TERMS).collect())
-    stems = {r["term"]: r["odds"] for r in best if r["is_stem"]}
-    kept = [r for r in best if not any(stems.get(r["term"][:n], 0) > r["odds"] - 0.3 for n in range(4, len(r["term"])))
-            and not (not r["is_stem"] and stems.get(r["term"], 0) > r["odds"])]
-    return [(r["term"], r["is_stem"]) for r in kept], np.array([r["odds"] for r in kept]), (n_toxic, n_clean)
+    kept = without_covered([(r["term"], r["is_stem"], r["odds"]) for r in best])
+    return [(term, is_stem) for term, is_stem, _ in kept], np.array([x for *_, x in kept]), (n_toxic, n_clean)
 
 
 def calibrate(sample: DataFrame, terms, odds: np.ndarray, totals) -> tuple[np.ndarray, np.ndarray]:

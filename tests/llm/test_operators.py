@@ -166,6 +166,34 @@ def test_quotation_counts_less():
     assert read("a mroon, a morom, a morron")[0] and read("nothing here")[0] == []
 
 
+def test_learnt_terms_are_recognised_misspelt(spark):
+    insults = ["idiot", "moron", "stupid", "disgusting", "pathetic", "worthless"]
+    r = random.Random(8)
+    calm = ["".join(r.choice("bcdfghklmnprtv") + r.choice("aeou") for _ in range(3)) for _ in range(60)]
+    held = [i for i in range(800) if zlib.crc32(str(i).encode()) % 5 == 0]
+    wrong = {}
+    for k, i in enumerate(held[:24]):  # the first letters are wrong, so no short stem is left whole
+        w = insults[k % 6]
+        wrong[i] = ["z" + w[1:], w[0] + w[2:], w[:2] + "q" + w[2:], w[:3] + "q" + w[4:]][k // 6]
+    rows, marks = [], []
+    for i in range(800):
+        toxic = i in wrong or i not in held and i % 4 == 0
+        ws = [r.choice(calm) for _ in range(20)]
+        if toxic:
+            ws[5] = ws[14] = wrong.get(i) or r.choice(insults)
+            if i not in wrong and i % 16 == 0:  # some in the sample too, each spelling too rare to be learnt
+                ws[5] = ws[14] = ws[5][:1] + "bcfghjklvwxyz"[i // 16 % 13] + ws[5][1:]
+        rows.append((i, " ".join(ws)))
+        marks.append((i, int(toxic)))
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    terms, _, _ = tox.learn_lexicon(tox.training_sample(docs, marked, "toxic", 1000))
+    machine = tox.Automaton(terms, np.array([[1, 0.6]] * len(terms)))
+    assert all(machine.match(w)[1] == 0 for w in insults)
+    assert not [w for w in wrong.values() if not machine.match(w)] and not [w for w in calm if machine.match(w)]
+    got = {x.doc_id: x.predicted for x in tox.toxicity(docs, marked).where("held_out").collect()}
+    assert all(got[i] == (i in wrong) for i in held)
+
+
 def test_toxicity_edges(spark, edge, labels):
     out = tox.toxicity(edge, labels)
     assert out.columns == [c for c in edge.columns if c != "score"] + ["held_out", "score", "predicted"]
