@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronolith.llm.common import documents, labels, stored
-from chronolith.llm.line_dedup import line_dedup
+from chronolith.llm.line_dedup import line_dedup, near_pages
 from chronolith.llm.near_dedup import near_dedup
 from chronolith.llm.packing import best_fit_packing
 from chronolith.llm.quality_classifier import quality_classifier
 from chronolith.llm.toxicity import toxicity
 
 ORACLE_SQL = None
+#: Words of a shingle and similarity of near copies.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the boilerplate lines of its source; n_chars follows the text."""
-    out = line_dedup(docs)
+    """Every document, without the boilerplate lines of its source; n_chars follows the text.
+
+    Near copies (as in the next stage) count as one page, so that the one that stage keeps is whole.
+    """
+    out = line_dedup(docs, near=near_pages(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -44,7 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that share an id are told apart by their text; exact copies of a row count as one.
     """
     keyed = docs.withColumn("__near_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
-    found = near_dedup(keyed, doc_id="__near_key", width=5, percent=80)
+    found = near_dedup(keyed, doc_id="__near_key", width=NEAR_WIDTH, percent=NEAR_PERCENT)
     kept = found.where("kept").select(F.col("doc_id").alias("__near_key")).distinct()
     return keyed.join(kept, "__near_key", "left_semi").dropDuplicates(["__near_key"]).select(*docs.columns)
 

@@ -1,6 +1,7 @@
 """Registered queries and the corpus pipeline over the test tables."""
 
 import os
+import random
 
 import pytest
 
@@ -57,6 +58,24 @@ def test_stages(spark):
         frame = out
 
 
+def test_near_copies_keep_their_lines(spark):
+    def line(seed, n=12):
+        r = random.Random(seed)
+        return " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    shared = [line(f"shared {k}") for k in range(10)]
+    # 40 near copies, each with one word changed, among 100 pages of their own with the same menu.
+    copies = ["\n".join(shared[:k % 10] + [shared[k % 10].rsplit(" ", 1)[0] + f" word{k}"] + shared[k % 10 + 1:] + ["The menu"]) for k in range(40)]
+    own = ["\n".join([line(f"own {k} {j}") for j in range(3)] + ["The menu"]) for k in range(100)]
+    rows = [(i, t, "en", "host", len(t)) for i, t in enumerate(copies + own)]
+    docs = spark.createDataFrame(rows, documents(spark, SF).schema)
+    out = cp.drop_boilerplate(spark, docs, SF).persist()
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert all(got[i] == t.removesuffix("\nThe menu") for i, t in enumerate(copies + own))
+    kept = cp.drop_near_copies(spark, out, SF).collect()
+    assert sorted(r.doc_id for r in kept) == [0, *range(40, 140)]
+
+
 def test_edges(spark):
     rows = [(1, "same text of more than five words", "en", "a", 33)] * 3 + [(1, "another text", "en", "a", 12), (None, None, None, None, None),
             (2, "", "en", "a", 0), (3, "Same text of more than five words", "en", None, 33)]
