@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chronolith.sources.tables import work_folder
 
@@ -56,6 +56,31 @@ def crc_fold_sql(doc_id: str, n: int) -> str:
     return f"crc32({doc_id}) % {n}"
 
 
+def most_frequent(counts: DataFrame, rows: int) -> DataFrame:
+    """The `rows` rows of (h, n, ...) with the largest n, smallest h among equals; h is unique.
+
+    The cut is found in the histogram of n.  Rows above it are taken; of those at it, as many as are still missing,
+    after a cut of the same kind over ranges of the hash, so that no task sorts more than about `rows` rows.
+    """
+    if rows <= 0:
+        return counts.limit(0)
+    n = counts.groupBy("n").agg(F.count("*").alias("size"))
+    by_n = Window.orderBy(F.desc("n"))
+    cut = n.withColumn("upto", F.sum("size").over(by_n)).where(F.col("upto") >= rows).orderBy(F.desc("n")).first()
+    if cut is None:
+        return counts
+    missing = rows - (cut["upto"] - cut["size"])
+    above, at = counts.where(F.col("n") > cut["n"]), counts.where(F.col("n") == cut["n"])
+    if missing == cut["size"]:
+        return above.unionByName(at)
+    piece = F.shiftright("h", 48)  # ranges of the hash in ascending order, 65,536 at most
+    by_piece = Window.orderBy("piece")
+    last = (at.groupBy(piece.alias("piece")).agg(F.count("*").alias("size"))
+            .withColumn("upto", F.sum("size").over(by_piece)).where(F.col("upto") >= missing).orderBy("piece").first())
+    rest = at.where(piece == last["piece"]).orderBy("h").limit(missing - (last["upto"] - last["size"]))
+    return above.unionByName(at.where(piece < last["piece"])).unionByName(rest)
+
+
 # --- words of many texts at once ---------------------------------------------------
 
 _RNG = np.random.Generator(np.random.PCG64(20260101))

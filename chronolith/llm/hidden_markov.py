@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from chronolith.llm.common import crc_fold, list_array, mix, signed, slices, span_hashes, stored, words
+from chronolith.llm.common import crc_fold, list_array, mix, most_frequent, signed, slices, span_hashes, stored, words
 
 STATES = 16
 ROUNDS = 5
@@ -175,8 +175,10 @@ def learn_words(train: DataFrame) -> tuple[DataFrame, Lexicon, np.ndarray]:
     counts = stored(train.select("t").mapInArrow(_words_of, "h long, cls int, n long").groupBy("h")
                     .agg(F.min("cls").alias("cls"), F.sum("n").alias("n")), "words")
     texts = train.count()
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    top = most_frequent(counts, FREQUENT).toArrow()
     h, cls, n = (top.column(c).to_numpy() for c in ("h", "cls", "n"))
+    ranked = np.lexsort((h, -n))
+    h, cls, n = h[ranked], cls[ranked], n[ranked]
     by_class = counts.groupBy("cls").agg(F.sum("n"), F.count("*")).collect()
     open_n, open_v = np.zeros(OPEN_CLASSES), np.zeros(OPEN_CLASSES)
     for c, tokens, types in by_class:

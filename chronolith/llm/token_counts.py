@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from chronolith.llm.common import list_array, signed, slices, span_hashes, stored
+from chronolith.llm.common import list_array, most_frequent, signed, slices, span_hashes, stored
 
 TOKENIZER = "piece_bpe_32k.model"
 #: So many of the most frequent pre-tokens are sent to every task (16 bytes each); all others are joined.
@@ -95,7 +95,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096, do
     path = path or public_tokenizers.path(TOKENIZER)
     spark = docs.sparkSession
     pieces = pretoken_pieces(docs, path, text)
-    top = pieces.orderBy(F.desc("n"), "h").limit(frequent).select("h", "pieces").toArrow()
+    top = most_frequent(pieces, frequent).select("h", "pieces").toArrow()
     keys, values = (top.column(c).to_numpy() for c in (0, 1))
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((keys[order], values[order].astype(np.int64)))

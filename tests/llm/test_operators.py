@@ -132,6 +132,18 @@ def test_components_of_chains(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and got[60] == 0 and got[95] == 90 and got[100] == 90
 
 
+def test_most_frequent_sorts_no_dictionary(spark):
+    r = random.Random(3)
+    rows = [(r.getrandbits(64) - 2**63, int(r.paretovariate(1))) for _ in range(3000)]
+    counts = spark.createDataFrame(rows, "h long, n long")
+    want = sorted(rows, key=lambda x: (-x[1], x[0]))
+    for k in (0, 1, 7, 400, 2999, 3000, 9000):
+        got = [tuple(x) for x in common.most_frequent(counts, k).collect()]
+        assert len(got) == min(k, 3000) and set(got) == set(want[:k])
+    plan = common.most_frequent(counts, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [n" not in plan
+
+
 # --- 2 -----------------------------------------------------------------------------
 
 def distance(a, b):
