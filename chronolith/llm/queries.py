@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import documents, labels, query
-from chronolith.llm import (hidden_markov, line_dedup as lines, near_dedup as near, packing, piece_sampling, quality_classifier as quality, quality_rules as rules,
-                            token_counts as tokens, toxicity as toxic, winnowing)
+from chronolith.llm import (bpe_codec, hidden_markov, line_dedup as lines, near_dedup as near, packing, piece_sampling,
+                            quality_classifier as quality, quality_rules as rules, token_alignment, token_counts as tokens,
+                            toxicity as toxic, winnowing)
 
 # --- 1 ---------------------------------------------------------------------------
 
@@ -143,3 +144,20 @@ def op9(spark, sf_dir):
 @query("op10_fingerprints")
 def op10(spark, sf_dir):
     return winnowing.fingerprints(documents(spark, sf_dir))
+
+
+# --- 11 --------------------------------------------------------------------------
+
+@query("op11_pair_alignment")
+def op11(spark, sf_dir):
+    out = token_alignment.align_tokens(documents(spark, sf_dir), groups="sha256")
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
+# --- 12 --------------------------------------------------------------------------
+
+@query("op12_bpe_round_trip")
+def op12(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = bpe_codec.ids_digest(bpe_codec.decode_bpe(bpe_codec.encode_bpe(docs, keep=["doc_id"])))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
