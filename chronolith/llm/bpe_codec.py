@@ -336,24 +336,49 @@ def decode_bpe(docs: DataFrame, path: str | None = None, ids: str = "ids", keep:
     keep = [c for c in (docs.columns if keep is None else keep) if c != "decoded"]
 
     def run():
-        table = MergeTable(path)
-        tokens, size = table.tokens, table.size
+        decoder = Decoder(MergeTable(path))
 
         def make(column):
             for k in range(len(column)):
                 value = column[k].values
-                if value is None:
-                    yield k, k + 1, [pa.array([None], pa.string())]
-                    continue
-                own = value.to_numpy(zero_copy_only=False)
-                if len(own) and (own.min() < 0 or own.max() >= size):
-                    own = own[(own >= 0) & (own < size)]
-                yield k, k + 1, [pa.array([" ".join([t for t in map(tokens.__getitem__, own.tolist()) if t])], pa.string())]
+                shown = None if value is None else decoder(value.to_numpy(zero_copy_only=False))
+                yield k, k + 1, [pa.array([shown], pa.string())]
         return lambda column: _batched(make(column))
 
     return append_columns(docs, keep, {"i": F.col(f"`{ids}`")}, run, "decoded string")
 
 
+class Decoder:
+    def __init__(self, table: MergeTable):
+        self.tokens, self.size = table.tokens, table.size
+
+    def __call__(self, ids: np.ndarray) -> str:
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
+            ids = ids[(ids >= 0) & (ids < self.size)]
+        return " ".join([t for t in map(self.tokens.__getitem__, ids.tolist()) if t])
+
+
+def bpe_round_trip(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """encode_bpe and decode_bpe in one pass: columns `keep`, n_tokens, ids_sha256 (hex digest of the ids as little-endian
+    unsigned 32-bit numbers) and decoded.  The ids themselves never leave the task."""
+    path = path or public_tokenizers.path(TOKENIZER)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "ids_sha256", "decoded")]
+
+    def run():
+        encoder = WordEncoder(path)
+        memory, decoder = IdMemory(encoder.encode), Decoder(encoder.table)
+
+        def make(column):
+            for first, last, ids, border in memory.texts(column):
+                parts = [ids[a:b] for a, b in zip(border[:-1].tolist(), border[1:].tolist())]
+                yield first, last, [pa.array(np.diff(border)), pa.array([hashlib.sha256(p.astype("<u4").tobytes()).hexdigest() for p in parts]),
+                                    pa.array([decoder(p) for p in parts], pa.string())]
+        return make
+
+    return append_columns(docs, keep, {"t": F.col(f"`{text}`").cast("string")}, run,
+                          "n_tokens long, ids_sha256 string, decoded string")
+
+
 def _batched(rows, size: int = 8 << 20):
     """Neighbouring rows together, up to about `size` bytes."""
     first = last = None
@@ -368,21 +393,3 @@ def _batched(rows, size: int = 8 << 20):
             first, held, weight = None, [], 0
     if held:
         yield first, last, [pa.concat_arrays(held)]
-
-
-def ids_digest(docs: DataFrame, ids: str = "ids") -> DataFrame:
-    """The columns but the ids, and n_tokens and ids_sha256: hex digest of the ids as little-endian unsigned 32-bit numbers."""
-    keep = [c for c in docs.columns if c not in (ids, "n_tokens", "ids_sha256")]
-
-    def run():
-        def make(column):
-            n, digests = [], []
-            for k in range(len(column)):
-                value = column[k].values
-                own = b"" if value is None else value.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                n.append(len(own) // 4)
-                digests.append(hashlib.sha256(own).hexdigest())
-            yield 0, len(column), [pa.array(n, pa.int64()), pa.array(digests, pa.string())]
-        return make
-
-    return append_columns(docs, keep, {"i": F.col(f"`{ids}`")}, run, "n_tokens long, ids_sha256 string")

@@ -205,17 +205,21 @@ def append_columns(docs: DataFrame, keep: list[str], inputs: dict[str, Column],
     `run` is called once in each task and returns a function that takes the inputs of a batch and yields
     (first row, last row, the new columns of these rows).
     """
-    names = [f"__in{k}" for k in range(len(inputs))]
+    # Columns travel under names by position: no name of the input can clash, and none is parsed.
+    names = [f"in{k}" for k in range(len(inputs))]
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [added])
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(n) for n, c in zip(names, inputs.values())])
     new = [x.split()[0].strip("`") for x in added.split(", ")]
+    out = [f"keep{k}" for k in range(len(keep))] + [f"new{k}" for k in range(len(new))]
+    schema = ", ".join([f"keep{k} {f.dataType.simpleString()}" for k, f in enumerate(kept.schema)]
+                       + [f"new{k} {x.split(' ', 1)[1]}" for k, x in enumerate(added.split(", "))])
+    frame = docs.select(*[F.col(f"`{c}`").alias(f"keep{k}") for k, c in enumerate(keep)],
+                        *[c.alias(n) for n, c in zip(names, inputs.values())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = run()
         for batch in batches:
             for first, last, arrays in make(*[batch.column(len(keep) + k) for k in range(len(names))]):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(first, last - first) for k in range(len(keep))] + arrays, [*keep, *new])
+                    [batch.column(k).slice(first, last - first) for k in range(len(keep))] + arrays, out)
 
-    return frame.mapInArrow(over, schema)
+    return frame.mapInArrow(over, schema).toDF(*keep, *new)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import documents, labels, query
 from chronolith.llm import (bpe_codec, hidden_markov, line_dedup as lines, near_dedup as near, packing, piece_sampling,
-                            quality_classifier as quality, quality_rules as rules, token_alignment, token_counts as tokens,
+                            quality_classifier as quality, quality_rules as rules, ranked_search, token_alignment, token_counts as tokens,
                             toxicity as toxic, winnowing)
 
 # --- 1 ---------------------------------------------------------------------------
@@ -158,6 +158,31 @@ def op11(spark, sf_dir):
 
 @query("op12_bpe_round_trip")
 def op12(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = bpe_codec.ids_digest(bpe_codec.decode_bpe(bpe_codec.encode_bpe(docs, keep=["doc_id"])))
+    out = bpe_codec.bpe_round_trip(documents(spark, sf_dir), keep=["doc_id"])
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# --- 13 --------------------------------------------------------------------------
+
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SEARCH_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all({_LOWER}, '{_TERM}') AS ts FROM documents),
+n AS MATERIALIZED (SELECT count(*) FILTER (WHERE len(ts) > 0) AS texts, sum(len(ts))::BIGINT AS total FROM d),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+t AS MATERIALIZED (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * texts + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM t, n GROUP BY term, texts),
+p AS (SELECT rid, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len(ts) * texts) // total)))) AS gain
+      FROM t JOIN w USING (term) JOIN d USING (rid), n),
+s AS (SELECT item_id, rid, sum(gain)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY 1, 2),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM s JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+@query("op13_ranked_search", SEARCH_SQL)
+def op13(spark, sf_dir):
+    return ranked_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
