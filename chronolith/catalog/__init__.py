@@ -2,6 +2,6 @@
 
 from chronolith.catalog.base import QUERIES, SQL
 from chronolith.catalog import (  # noqa: F401 - importing registers the queries
-    align, calendar, clean, leaderboard, models, plans, sources, stats, windows)
+    align, calendar, clean, leaderboard, models, plans, probabilistic, sources, stats, windows)
 
 __all__ = ["QUERIES", "SQL"]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from chronolith.functions.columns import epoch_seconds, floor_div, ratio
 from chronolith.operators.grid import Grid
-from chronolith.operators.models import column_means, linear_coefficients, linear_value
+from chronolith.operators.models import collect_cells, gram_cells, linear_coefficients, linear_value
 from chronolith.operators.stats import join_groups
 
 PREDICTION_COLUMNS = ("model", "series_id", "ts", "y_true", "y_pred", "q05", "q50", "q95")
@@ -74,41 +74,32 @@ def score_status(expected: DataFrame, predictions: DataFrame, by: Iterable[str]
             .withColumn("ok", F.col("n_scored") > 0).select(*keys, "ok", "n_scored"))
 
 
-def _block_sums(cols: list[Column]) -> dict[str, Column]:
-    """Upper-triangle cross products of [1, cols] as named sums."""
-    z = [F.lit(1.0), *cols]
-    return {f"g{i}_{j}": F.sum(z[i] * z[j]) for i in range(len(z)) for j in range(i, len(z))}
-
-
 def walk_forward_retrain(df: DataFrame, grid: Grid, xs: Iterable[str], start: str, y: str = "y",
-                         retrain_every: int = 1, ridge: float = 0.0) -> DataFrame:
+                         retrain_every: int = 1, ridge: float = 0.0,
+                         centre: list[float] | None = None) -> DataFrame:
     """Expanding-window linear forecasts, refitted every ``retrain_every`` days; adds y_pred.
 
-    All folds come out of one job: cross products per series and fold block
-    (everything before ``start`` is one block), running sums over the blocks
-    before each fold, one small solve per fold, and a join back that keeps folds
-    with too little history (NULL forecast).  A series has
-    one block row per fold, so the running sum is bounded by the calendar.
+    All folds come out of one job: small cross-product matrices per series and fold block, folded where the rows are
+    read (everything before ``start`` is one block), running sums of their cells over the blocks before each fold, one
+    small solve per fold, and a join back that keeps folds with too little history (NULL forecast).  A cell of a series
+    has one row per fold, so the running sum is bounded by the calendar.  ``centre`` holds a value near the mean of each
+    regressor and the target (a scaler's means, say): products are then taken around it.
     """
     xs, by = list(xs), list(grid.by)
+    width = len(xs) + 2
     day0 = F.unix_date(F.to_date(F.lit(start).cast("timestamp_ntz")))
     day = F.unix_date(F.to_date(grid.ts))
     fold = F.when(day < day0, F.lit(-1)).otherwise(floor_div(day - day0, retrain_every)).cast("long")
     data = df.withColumn("_fold", fold)
-    cols = [F.col(f"`{c}`").cast("double") for c in [*xs, y]]
-    whole = F.lit(True)
-    for c in cols:
-        whole = whole & c.isNotNull()
-    sums = _block_sums(cols)
-    blocks = data.where(whole).groupBy(*by, "_fold").agg(*[c.alias(n) for n, c in sums.items()])
-    # Folds without a complete row still need a model: they enter as empty blocks.
+    cells = gram_cells(data, [*by, "_fold"], xs, y, centre)
+    # Folds without a complete row still need a model: they enter with empty matrices.
     wanted = data.where("_fold >= 0").select(*by, "_fold").distinct()
-    blocks = wanted.join(blocks, [*by, "_fold"], "full")
-    before = Window.partitionBy(*by).orderBy("_fold").rowsBetween(Window.unboundedPreceding, -1)
-    history = blocks.select(*by, "_fold", F.array(
-        *[F.coalesce(F.sum(n).over(before), F.lit(0.0)) for n in sums]).alias("gram"))
-    history = history.where((F.col("_fold") >= 0) & (F.col("gram")[0] > len(xs) + 1))
-    coef = linear_coefficients(history, len(xs) + 2, ridge=ridge)
+    empty = wanted.select(*by, "_fold", F.explode(F.sequence(F.lit(0), F.lit(width * (width + 1) // 2 - 1))).alias("_i"), F.lit(0.0).alias("_v"))
+    blocks = cells.unionByName(empty).groupBy(*by, "_i", "_fold").agg(F.sum("_v").alias("_v"))
+    before = Window.partitionBy(*by, "_i").orderBy("_fold").rowsBetween(Window.unboundedPreceding, -1)
+    running = blocks.withColumn("_v", F.coalesce(F.sum("_v").over(before), F.lit(0.0))).where("_fold >= 0")
+    history = collect_cells(running, [*by, "_fold"]).where(F.col("gram")[0] > len(xs) + 1)
+    coef = linear_coefficients(history, width, ridge=ridge, shift=centre)
     return (join_groups(data.where("_fold >= 0"), coef, [*by, "_fold"], "left")
             .withColumn("y_pred", linear_value(xs, F.col("beta")))
             .withColumnRenamed("_fold", "fold").drop("beta"))

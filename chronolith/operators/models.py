@@ -102,9 +102,9 @@ def column_means(df: DataFrame, columns: Iterable[str]) -> list[float]:
     return [0.0 if m is None else m for m in row]
 
 
-def gram(df: DataFrame, by: Iterable[str], xs: Iterable[str], y: str = "y",
-         shift: list[float] | None = None) -> DataFrame:
-    """(by, gram): upper triangle of [1, xs, y]' [1, xs, y] over complete rows, each column less its shift.
+def gram_cells(df: DataFrame, by: Iterable[str], xs: Iterable[str], y: str = "y",
+               shift: list[float] | None = None) -> DataFrame:
+    """(by, _i, _v): cells of the upper triangle of [1, xs, y]' [1, xs, y] over complete rows, each column less its shift.
 
     Rows are reduced where they are read; only matrices are shuffled, and they
     are summed cell by cell with partial aggregation, so a dominant series costs
@@ -119,11 +119,21 @@ def gram(df: DataFrame, by: Iterable[str], xs: Iterable[str], y: str = "y",
     types = {f.name: f.dataType.simpleString() for f in df.select(*by).schema}
     schema = ", ".join([f"`{c}` {types[c]}" for c in by] + ["_g array<double>"])
     cells = complete.mapInPandas(_fold_gram(by, width), schema).select(*by, F.posexplode("_g").alias("_i", "_v"))
-    summed = cells.groupBy(*by, "_i").agg(F.sum("_v").alias("_v"))
-    return summed.groupBy(*by).agg(F.transform(
+    return cells.groupBy(*by, "_i").agg(F.sum("_v").alias("_v"))
+
+
+def collect_cells(cells: DataFrame, by: Iterable[str]) -> DataFrame:
+    """(by, gram): the cells of each key in order."""
+    return cells.groupBy(*by).agg(F.transform(
         F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda e: e["_v"]).alias("gram"))
 
 
+def gram(df: DataFrame, by: Iterable[str], xs: Iterable[str], y: str = "y",
+         shift: list[float] | None = None) -> DataFrame:
+    """(by, gram): the upper triangle of gram_cells as one array."""
+    return collect_cells(gram_cells(df, by, xs, y, shift), by)
+
+
 def _square(cells, width: int) -> np.ndarray:
     g = np.zeros((width, width))
     g[np.triu_indices(width)] = np.asarray(cells, dtype=float)
