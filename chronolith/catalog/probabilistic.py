@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolith.catalog.base import H, TRAIN_END, W, hf, holidays, query, rd, rs, sql
+from chronolith.catalog.base import H, TRAIN_END, VAL_END, W, hf, holidays, query, rd, rs, sql
 from chronolith.catalog.models import _FEAT, _TS, features
-from chronolith.operators import bands, backtest, recursion
+from chronolith.operators import backtest, bands, boosting, recursion
+from chronolith.operators.clean import chrono_split
 from chronolith.operators.windows import seasonal_naive, widest_interval_window
 from chronolith.plans.profile import error_profile
+from chronolith.sources.tables import materialize, work_folder
 
 # --- daily refits with bands from the residuals before each fold ------------------
 
@@ -103,3 +105,86 @@ def _(s, sf):
     fit = recursion.fit_lags(data.where(F.col("ts") <= F.lit(TRAIN_END).cast("timestamp_ntz")), H, _LAGS)
     out = recursion.recursive_forecast(data, fit, H, _LAGS, "2024-01-21 00:00:00", 24)
     return out.withColumn("y_pred", rd("y_pred", 4))
+
+
+# --- boosted trees by series -----------------------------------------------------------
+
+_XS = ("lag_1", "lag_24")
+_BINS = 8
+
+
+def _forest_sql(train: str, trials: list[dict], rounds: int, tag: str) -> dict[str, str]:
+    """CTEs of depth-1 boosting: every bin of every feature of every series and trial is tried in each round."""
+    ranks = [k / _BINS for k in range(1, _BINS)]
+    out = {f"{tag}x": " UNION ALL ".join(f"SELECT series_id, ts, y, {k} AS feature, {x} AS x FROM {train}" for k, x in enumerate(_XS)),
+           f"{tag}e": f"SELECT DISTINCT series_id, feature, unnest(quantile_disc(x, {ranks})) AS edge FROM {tag}x GROUP BY 1, 2",
+           f"{tag}t": "SELECT * FROM (VALUES " + ", ".join(f"({k}, {t['step']}::DOUBLE)" for k, t in enumerate(trials)) + ") v(trial, step)",
+           f"{tag}f0": f"SELECT series_id, ts, y, trial, avg(y) OVER (PARTITION BY series_id, trial) AS f FROM {train}, {tag}t"}
+    for r in range(rounds):
+        out[f"{tag}s{r}"] = f"""SELECT series_id, trial, feature, edge, step * gl / nl AS lv, step * (gt - gl) / (nt - nl) AS rv FROM (
+            SELECT e.series_id, g.trial, e.feature, e.edge, sum(g.y - g.f) FILTER (WHERE x.x <= e.edge) AS gl, count(*) FILTER (WHERE x.x <= e.edge) AS nl,
+            sum(g.y - g.f) AS gt, count(*) AS nt FROM {tag}e e JOIN {tag}x x ON x.series_id = e.series_id AND x.feature = e.feature
+            JOIN {tag}f{r} g ON g.series_id = x.series_id AND g.ts = x.ts GROUP BY 1, 2, 3, 4) JOIN {tag}t USING (trial) WHERE nl > 0 AND nl < nt
+            QUALIFY row_number() OVER (PARTITION BY series_id, trial ORDER BY round(gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) - gt * gt / nt, 6) DESC,
+            feature, edge) = 1"""
+        out[f"{tag}f{r + 1}"] = f"""SELECT g.series_id, g.ts, g.y, g.trial, g.f + CASE WHEN x.x <= s.edge THEN s.lv ELSE s.rv END AS f
+            FROM {tag}f{r} g JOIN {tag}s{r} s USING (series_id, trial) JOIN {tag}x x ON x.series_id = g.series_id AND x.ts = g.ts AND x.feature = s.feature"""
+    return out
+
+
+def _scored_sql(rows: str, tag: str, rounds: int) -> str:
+    """(series_id, ts, y, trial, p) of rows under the first trees of a forest."""
+    value = " + ".join([f"CASE WHEN (CASE s{r}.feature WHEN 0 THEN v.{_XS[0]} ELSE v.{_XS[1]} END) <= s{r}.edge THEN s{r}.lv ELSE s{r}.rv END" for r in range(rounds)])
+    joins = " ".join(f"JOIN {tag}s{r} s{r} ON s{r}.series_id = v.series_id AND s{r}.trial = b.trial" for r in range(rounds))
+    return f"SELECT v.series_id, v.ts, v.y, b.trial, b.base + {value} AS p FROM {rows} v JOIN (SELECT series_id, trial, avg(y) AS base FROM {tag}f0 GROUP BY 1, 2) b ON b.series_id = v.series_id {joins}"
+
+
+_ONE = [{"step": 0.3, "depth": 1}]
+_TRAINED = f"SELECT * FROM f WHERE ts <= {_TS}"
+
+
+@query("fit_boosted_panel", sql("hf", f"SELECT series_id, ts, {rs('p', 4)} AS y_pred FROM scored", f=_FEAT, tr=_TRAINED,
+                                ho=f"SELECT * FROM f WHERE ts > {_TS}", **_forest_sql("tr", _ONE, 5, "b"), scored=_scored_sql("ho", "b", 5)))
+def _(s, sf):
+    f = materialize(features(s, sf), s)
+    early = F.col("ts") <= F.lit(TRAIN_END).cast("timestamp_ntz")
+    model = boosting.fit_boosted_panel(f.where(early), ["series_id"], _XS, lambda df: materialize(df, s), rounds=5, bins=_BINS, **_ONE[0])
+    out = boosting.predict_boosted(f.where(~early), model, ["series_id"], _XS, 1)
+    return out.select("series_id", "ts", rd("y_pred", 4).alias("y_pred"))
+
+
+_STEPS = [{"step": x, "depth": 1} for x in (0.05, 0.2, 0.5, 1.0)]
+_VALID = f"SELECT * FROM f WHERE ts > {_TS} AND ts <= TIMESTAMP '{VAL_END}'"
+
+
+@query("boosted_halving_search", sql("hf", f"""SELECT series_id, trial, rounds, {rs('mae', 4)} AS mae FROM rung0
+    UNION ALL SELECT series_id, trial, rounds, {rs('mae', 4)} FROM rung1""", f=_FEAT, tr=_TRAINED, va=_VALID, **_forest_sql("tr", _STEPS, 4, "b"),
+    rung0=f"SELECT series_id, trial, 2 AS rounds, avg(abs(y - p)) AS mae FROM ({_scored_sql('va', 'b', 2)}) GROUP BY 1, 2",
+    rung1=f"""SELECT q.series_id, q.trial, 4 AS rounds, avg(abs(y - p)) AS mae FROM ({_scored_sql('va', 'b', 4)}) q JOIN (SELECT * FROM rung0
+    QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(mae, 9), trial) <= 2) k ON k.series_id = q.series_id AND k.trial = q.trial GROUP BY 1, 2"""))
+def _(s, sf):
+    f = materialize(chrono_split(features(s, sf), TRAIN_END, VAL_END), s)
+    scores, _ = boosting.halving_search(f.where("split = 'train'"), f.where("split = 'val'"), ["series_id"], _XS, _STEPS, (2, 4),
+                                        lambda df: materialize(df, s), bins=_BINS)
+    return scores.select("series_id", "trial", "rounds", rd("mae", 4).alias("mae"))
+
+
+@query("boosted_champions", sql("hf", f"""SELECT q.series_id, q.trial, count(*) AS n, {rs('avg(abs(y - p))', 4)} AS mae FROM ({_scored_sql('te', 'c', 4)}) q JOIN (
+    SELECT q.series_id, q.trial FROM ({_scored_sql('va', 'b', 4)}) q JOIN (SELECT * FROM rung0
+    QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(mae, 9), trial) <= 2) k ON k.series_id = q.series_id AND k.trial = q.trial GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY q.series_id ORDER BY round(avg(abs(y - p)), 9), q.trial) = 1) w
+    ON w.series_id = q.series_id AND w.trial = q.trial GROUP BY 1, 2""", f=_FEAT, tr=_TRAINED, va=_VALID,
+    te=f"SELECT * FROM f WHERE ts > TIMESTAMP '{VAL_END}'", tv=f"SELECT * FROM f WHERE ts <= TIMESTAMP '{VAL_END}'",
+    **_forest_sql("tr", _STEPS, 4, "b"), rung0=f"SELECT series_id, trial, avg(abs(y - p)) AS mae FROM ({_scored_sql('va', 'b', 2)}) GROUP BY 1, 2",
+    **_forest_sql("tv", _STEPS, 4, "c")))
+def _(s, sf):
+    """Search, pick, refit on training and validation, save, load, score the test rows."""
+    def store(df):
+        return materialize(df, s)
+    f = store(chrono_split(features(s, sf), TRAIN_END, VAL_END))
+    _, champions = boosting.halving_search(f.where("split = 'train'"), f.where("split = 'val'"), ["series_id"], _XS, _STEPS, (2, 4), store, bins=_BINS)
+    model = boosting.refit_champions(f.where("split <> 'test'"), store(champions), ["series_id"], _XS, _STEPS, 4, store, bins=_BINS)
+    path = work_folder(s)
+    boosting.save_boosted(model, path)
+    out = boosting.predict_boosted(f.where("split = 'test'"), boosting.load_boosted(s, path), ["series_id"], _XS)
+    return out.groupBy("series_id", "trial").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("y_pred"))).alias("mae")).withColumn("mae", rd("mae", 4))
