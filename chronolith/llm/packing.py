@@ -7,7 +7,6 @@ slot by its rank among the pieces of its length.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,71 +16,58 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from chronolith.llm.bpe_codec import IdMemory
 from chronolith.llm.common import stored
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 END_ID = 0
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-MEMORY_WORDS = 400_000
-#: Between words that are encoded together.  Python splits at these controls, the tokenizer does not.
-CONTROLS, MARK = "\x1c\x1d\x1e\x1f", "\x1d"
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
+#: Words that are encoded together, and what stands between them.
+TOGETHER, MARK = 64, "\x1d"
 
 
-def words_of(text: str) -> list[str]:
-    if any(c in text for c in CONTROLS):
-        return [w for w in SPACES.split(text) if w]
-    return text.split()
+class LibraryWords:
+    """Ids of words by the tokenizers library.
 
-
-class WordIds:
-    """Ids of words as little-endian bytes, each distinct word given to the tokenizer once.
-
-    The tokenizer drops white space and splits at it before anything else, so the ids of a text are those
-    of its words in turn.  It also parts letters from a full stop or comma after them and ignores case, so
-    most words share the ids of their bare form.
+    The tokenizer drops white space and splits at it before anything else, so the ids of a text are those of its words in
+    turn; words are encoded together with a mark between them, and alone where a word holds the mark.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory = Tokenizer.from_file(path), {}
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
-        self.tail = {c: self._ids([c])[0] for c in ".,"}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words without the mark, encoded together."""
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts, raw = (np.flatnonzero(ids == self.mark) * 4).tolist(), ids.tobytes()
-        return [raw[a:b] for a, b in zip([0] + [c + 4 for c in cuts], cuts + [len(raw)])]
-
-    def learn(self, words: set[str]) -> None:
-        unknown = [w for w in words if w not in self.memory]
-        if len(self.memory) + len(unknown) > MEMORY_WORDS:
-            self.memory.clear()
-            unknown = list(words)
-        bare = {}
-        for w in unknown:
-            tail = w[-1] in self.tail and len(w) > 1 and w[-2].isalpha()
-            form = w[:-1] if tail else w
-            bare[w] = (form.lower() if form.isascii() and form.isalpha() else form, self.tail[w[-1]] if tail else b"")
-        new = [f for f in {f for f, _ in bare.values()} if f not in self.memory and MARK not in f]
-        found = {}
-        for i in range(0, len(new), 64):
-            part = new[i:i + 64]
-            found.update(zip(part, self._ids(part)))
-        for w, (form, tail) in bare.items():
-            ids = found.get(form)
-            if ids is None:
-                ids = self.memory.get(form)
-            if ids is None:
-                ids = np.array(self.tokenizer.encode(form, add_special_tokens=False).ids, "<u4").tobytes()
-            self.memory[w] = ids + tail
-
-    def __call__(self, words: list[str]) -> bytes:
-        self.learn(set(words))
-        return b"".join(map(self.memory.__getitem__, words))
+        self.tokenizer = Tokenizer.from_file(path)
+        probe = self._ids(f"a {MARK} a")
+        if len(probe) != 3 or probe[0] != probe[2] or not np.array_equal(self._ids("a  a\n\ta"), probe[[0, 0, 0]]):
+            raise ValueError(f"{path}: the tokenizer does not split at white space before everything else")
+        self.mark = probe[1]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def encode(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each word has."""
+        words = [w.decode("utf-8", "replace") for w in spans]
+        alone = {k for k, w in enumerate(words) if MARK in w}
+        count = np.zeros(len(words), np.int64)
+        parts = []
+        begin = 0
+        while begin < len(words):
+            if begin in alone:
+                ids = self._ids(words[begin])
+                count[begin] = len(ids)
+                parts.append(ids)
+                begin += 1
+                continue
+            end = begin + 1
+            while end < len(words) and end - begin < TOGETHER and end not in alone:
+                end += 1
+            ids = self._ids(f" {MARK} ".join(words[begin:end]))
+            marks = np.flatnonzero(ids == self.mark)
+            count[begin:end] = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+            parts.append(ids[ids != self.mark])
+            begin = end
+        return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), count
 
 
 def cut_pieces(docs: DataFrame, path: str, limit: int, doc_id: str, text: str) -> DataFrame:
@@ -91,26 +77,32 @@ def cut_pieces(docs: DataFrame, path: str, limit: int, doc_id: str, text: str) -
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, task, seen = WordIds(path), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
+        memory, task, seen = IdMemory(LibraryWords(path).encode), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for key, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encode(words_of(value or ""))
-                    ids += END_ID.to_bytes(4, "little")
-                    for start in range(0, len(ids) // 4, limit):
-                        own = ids[4 * start:4 * (start + limit)]
-                        n = len(own) // 4
-                        rows.append((key, start // limit, start, n, zlib.crc32(own), task, int(seen[n])))
-                        seen[n] += 1
+            for first, last, ids, border in memory.texts(batch.column(1)):
+                raw = np.insert(ids, border[1:], END_ID).astype("<u4").tobytes()
+                size = np.diff(border) + 1
+                begin = np.cumsum(size) - size
+                pieces = -(-size // limit)
+                doc = np.repeat(np.arange(last - first), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * limit
+                length = np.minimum(size[doc] - start, limit)
+                at = (begin[doc] + start) * 4
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist())]
+                # Rank within the length: pieces of the task before this slice, then those before it here.
+                order = np.argsort(length, kind="stable")
+                sorted_length = length[order]
+                nth = np.empty(len(length), np.int64)
+                nth[order] = np.arange(len(length)) - np.searchsorted(sorted_length, sorted_length) + seen[sorted_length]
+                seen += np.bincount(length, minlength=limit + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (part.schema.field(0).type, pa.int32(), pa.int64(),
-                                                                 pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
+                    [batch.column(0).slice(first, last - first).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start),
+                     pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), task, np.int32)), pa.array(nth)],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
