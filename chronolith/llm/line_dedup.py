@@ -30,9 +30,11 @@ def page_key(text):
 
 
 def near_pages(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(page, page_class) of the pages that near-dedup links with another page: all of a class have its smallest key."""
+    """(page, page_class) of the pages that the stars of near-dedup link with another page: all of a class have its
+    smallest key.  Null texts read as empty and stand alone, repeated pages are one, an empty table gives no rows."""
     keyed = docs.select(page_key(text).alias("page"), F.col(text).cast("string").alias("text"))
-    found = near_dedup(keyed, doc_id="page", text="text", width=width, percent=percent)
+    # Counting needs most of a group, not its exact component.
+    found = near_dedup(keyed, doc_id="page", text="text", width=width, percent=percent, stars_only=True)
     # A page and its exact copies have one key and one class.
     linked = found.groupBy(F.col("doc_id").alias("page")).agg(F.min("component_id").alias("page_class"))
     others = linked.where("page <> page_class")

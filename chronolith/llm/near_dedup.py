@@ -2,8 +2,10 @@
 candidate edges, and confirmation on whole shingle sets.
 
 Equal sets are one class first, so copies never meet each other.  In each bucket one class is the centre and
-is compared with those outside its component; what stays apart gets other centres in the next rounds.  What
-the stars leave is compared exhaustively, so no link between classes that share a bucket is lost.
+is compared with those outside its component; what stays apart gets another centre in the next round.  What
+the stars leave meets by an exact prefix filter: shingles in ascending frequency, and two classes are compared only
+where they share one among so many of their rarest that a link without one is impossible.  So no link between
+classes that share a bucket is lost, and classes full of edits of their own meet nobody.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ BINS = 210
 MISS = 1e-7
 #: Members of a star that are confirmed in one group.
 GROUP = 256
-#: Rounds of stars before what is still apart is compared exhaustively.
-STARS = 3
-#: Bits of the filter that tells which classes share a bucket (fixed size, 1 MB).
-FILTER_BITS = 1 << 23
+#: Rounds of stars before what is still apart meets by the prefix filter.
+STARS = 2
+#: Bits for each class of the filter that tells which classes share a bucket, and its largest size (32 MB).
+BITS_PER_CLASS, FILTER_BITS = 16, 1 << 28
 EMPTY = np.uint64(2**64 - 1)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -120,46 +122,88 @@ def _sketch(width: int, rows: int):
     return run
 
 
-def _filter_bits(a: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Places of a key in the filter."""
-    return tuple((mix(a + np.uint64(k * 0x632BE59BD9B4E019 & (2**64 - 1))) % np.uint64(FILTER_BITS)).astype(np.int64) for k in (1, 2, 3))
+def _filter_bits(a: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """Places of a key in a filter of so many bits."""
+    return tuple((mix(a + np.uint64(k * 0x632BE59BD9B4E019 & (2**64 - 1))) % np.uint64(bits)).astype(np.int64) for k in (1, 2, 3))
 
 
 def class_filter(active: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the classes' keys; what passes it wrongly is removed by a join later."""
+    """A Bloom filter (packed bytes) over the classes' keys, sized by their number; what passes it wrongly is removed
+    by a join later."""
+    size = 1 << 12
+    wanted = BITS_PER_CLASS * active.count()
+    while size < min(wanted, FILTER_BITS):
+        size *= 2
+
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(FILTER_BITS, bool)
+        mine = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            for place in _filter_bits(batch.column(0).to_numpy().view(np.uint64)):
-                mine[place] = True
-        packed = np.packbits(mine).view(np.int64)
+            for place in _filter_bits(batch.column(0).to_numpy().view(np.uint64), size):
+                np.bitwise_or.at(mine, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        packed = mine.view(np.int64)
         used = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(packed[used])], ["at", "bits"])
 
     got = active.select("a").mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    packed = np.zeros(FILTER_BITS // 64, np.int64)
+    packed = np.zeros(size // 64, np.int64)
     packed[got.column("at").to_numpy()] = got.column("bits").to_numpy()
-    return np.unpackbits(packed.view(np.uint8)).astype(bool)
+    return packed.view(np.uint8)
 
 
 def whole_sets(docs: DataFrame, text: str, width: int, active: DataFrame) -> DataFrame:
-    """(c, shingles) of the active classes, built again from the texts: sets of other classes never travel."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(class_filter(active)))
+    """(c, shingles) of the active classes, built again from the texts: sets of other classes never travel, and those of
+    one class are one before they are joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(class_filter(active))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).astype(bool)
+        known = shared.value
+        size = 8 * len(known)
         for batch in batches:
             for _first, flat, border in shingle_sets(batch.column(0), width):
                 a, b = set_keys(flat, border)
-                keep = np.logical_and.reduce([known[p] for p in _filter_bits(a)]) & (np.diff(border) > 0)
+                keep = np.logical_and.reduce([(known[p >> 3] >> (p & 7)) & 1 for p in _filter_bits(a, size)]).astype(bool) & (np.diff(border) > 0)
                 once = np.unique(a[keep], return_index=True)[1]
                 rows = np.flatnonzero(keep)[once]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(a[rows])), pa.array(signed(b[rows])),
                      pa.array([flat[border[i]:border[i + 1]].tobytes() for i in rows.tolist()], pa.binary())], ["a", "b", "shingles"])
 
-    found = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "a long, b long, shingles binary")
-    return stored(active.select("a", "b", "c").join(found, ["a", "b"]).groupBy("c").agg(F.first("shingles").alias("shingles")), "sets")
+    found = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "a long, b long, shingles binary")
+    single = found.groupBy("a", "b").agg(F.first("shingles").alias("shingles"))
+    return stored(active.select("a", "b", "c").join(single, ["a", "b"]).select("c", "shingles"), "sets")
+
+
+def prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (centre, other) out of `apart` (c, n, root) that may reach the similarity, in different components.
+
+    With sizes n and m a link needs at least k = ceil(percent * (n + m) / (100 + percent)) common shingles, so two linked
+    classes share one among the first n - k + 1 of one and m - k + 1 of the other, in any order that is the same for both.
+    The order is by frequency among these classes: shingles of a single class come first and match nothing, so only
+    the others travel on.
+    """
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = np.frombuffer(batch.column(1)[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[k].as_py())), pa.array(own)], ["c", "shingle"])
+
+    wanted = sets.join(apart.select("c"), "c", "left_semi")
+    rows = wanted.mapInArrow(flat, "c long, shingle long")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    lists = rows.join(common, "shingle").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    n, alone = F.col("n"), F.col("n") - F.size("s")
+    reach = n - F.ceil(n * percent / 100) + 1  # with the smallest partner
+    # Positions 0 .. alone - 1 are the class's own shingles.
+    keys = (lists.join(apart, "c").withColumn("take", (reach - alone).cast("int")).where("take > 0")
+            .select("c", "n", "root", alone.alias("alone"), F.posexplode(F.slice("s", 1, F.col("take"))).alias("i", "e"))
+            .select("c", "n", "root", (F.col("alone") + F.col("i")).alias("pos"), F.col("e.shingle").alias("shingle")))
+    keys = stored(keys, "prefixes")
+    x, y = keys.alias("x"), keys.alias("y")
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    close = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root"))
+             & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+             & (F.col("x.pos") <= F.col("x.n") - need) & (F.col("y.pos") <= F.col("y.n") - need))
+    return x.join(y, close).select(F.col("x.c").alias("centre"), F.col("y.c").alias("other")).distinct()
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,36 +260,32 @@ def components(edges: DataFrame) -> DataFrame:
 def candidates(entries: DataFrame, step: int, percent: int) -> DataFrame:
     """Distinct pairs (centre, other) to confirm, between components and of sizes that can reach the similarity.
 
-    Each of the first STARS steps makes one star for each bucket: its centre is a class of the component that has
-    most entries there, another one in each step, and its arms are the classes of other components.  The
-    last step is exhaustive: every class outside that component meets all others of the bucket, so
-    afterwards each pair that shares a bucket is in one component or has been compared.
+    A step makes one star for each bucket: its centre is a class of the component that has most entries there, another
+    one in each step, and its arms are the classes of other components.
     """
     parts = entries.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.min_by(
         F.struct("c", "n"), F.struct(F.xxhash64("c", F.lit(step)), F.col("c"))).alias("x"))
     tops = parts.groupBy("bucket").agg(F.max_by(F.struct("root", "x"), F.struct(F.col("k"), -F.col("root"))).alias("top"))
+    heads = tops.select("bucket", F.col("top.x.c").alias("centre"), F.col("top.x.n").alias("n1"), F.col("top.root").alias("root1"))
     other_component = (F.col("root") != F.col("root1")) & (100 * F.least("n", "n1") >= percent * F.greatest("n", "n1"))
-    if step < STARS:
-        heads = tops.select("bucket", F.col("top.x.c").alias("centre"), F.col("top.x.n").alias("n1"), F.col("top.root").alias("root1"))
-    else:
-        outside = entries.join(tops.select("bucket", F.col("top.root").alias("main")), "bucket").where("root <> main")
-        heads = outside.select("bucket", F.col("c").alias("centre"), F.col("n").alias("n1"), F.col("root").alias("root1"), "main")
-        other_component &= (F.col("root") == F.col("main")) | (F.col("c") < F.col("centre"))
     pairs = entries.alias("e").join(heads.alias("h"), (F.col("e.bucket") == F.col("h.bucket")) & other_component)
     return pairs.select(F.least("c", "centre").alias("centre"), F.greatest("c", "centre").alias("other")).distinct()
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85,
+               stars_only: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per document row.
 
     Sets hold the distinct shingles of `width` words (the whole sequence where there are fewer); two
     documents are linked where 100 * intersection >= percent * union.  A text without words, or null, has
     an empty set and no link.  component_id is the smallest id of the component, kept tells whether it is the
     row's own.  Rows that share an id are separate documents; where they are in one component and have its
-    smallest id, each is kept.  A null id is larger than all others.
+    smallest id, each is kept.  A null id is larger than all others.  Other columns are ignored, whatever their names; an
+    empty table gives no rows.  With `stars_only` the links that only the prefix filter finds are left out: for uses that
+    need most of a group and no exact components.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    sketch = stored(docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(
+    sketch = stored(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(
         _sketch(width, band_width(percent)), f"row long, doc_id {kind}, n long, a long, b long, bands array<long>"), "sketch")
     # A class is named by the first row that has its set.
     classes = stored(sketch.where("n > 0").groupBy("a", "b").agg(F.min("row").alias("c"), F.min("doc_id").alias("least"),
@@ -258,14 +298,18 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     if not entries.isEmpty():
         sets = whole_sets(docs, text, width, active)
     for step in range(STARS + 1):
-        if entries.isEmpty():
+        if entries.isEmpty() or step == STARS and stars_only:
             break
-        found = stored(confirm(stored(candidates(entries, step, percent), "stars"), sets, percent), "links")
+        if step < STARS:
+            pairs = stored(candidates(entries, step, percent), "stars")
+        else:
+            apart = stored(entries.groupBy("c").agg(F.first("n").alias("n"), F.first("root").alias("root")), "apart")
+            pairs = stored(prefix_pairs(apart, sets, percent), "pairs")
+        found = stored(confirm(pairs, sets, percent), "links")
         links = found if links is None else links.unionByName(found)
+        roots = components(links)
         if step == STARS:
-            roots = components(links)
             break
-        roots = components(links)
         now = entries.drop("root").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         # A bucket whose classes are in one component is settled.
         open_buckets = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")

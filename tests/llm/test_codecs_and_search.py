@@ -232,3 +232,18 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     whole = next(rs.frequencies(text))
     monkeypatch.setattr(rs, "PIECE", 64)
     assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(whole, next(rs.frequencies(text))))
+
+
+# --- 7: words by the library ----------------------------------------------------------------
+
+def test_packing_ids_of_letters_that_decompose(spark):
+    from chronolith.llm import packing
+    import zlib
+    library = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    marks = [c + ", " + c + ". x" + c + "." for c in map(chr, [0x130, *range(0x958, 0x960), *range(0x9DC, 0x9E0), *range(0xA33, 0xA37), *range(0xB5C, 0xB5E),
+                                                               0xF43, 0xF4D, *range(0xFB1D, 0xFB4F)])]
+    values = texts(11, 300, ["İ, yes İ. and क़, x", "a \x1d b", "\x1d", *marks])
+    docs = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "doc_id long, text string")
+    for r in packing.best_fit_packing(docs).where("piece = 0").collect():
+        ids = (library.encode(values[r.doc_id] or "", add_special_tokens=False).ids + [0])[:2048]
+        assert r.length == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()), values[r.doc_id]

@@ -502,3 +502,31 @@ def test_winnowing_guarantee():
     a = " ".join([f"a{i}" for i in range(30)] + run + [f"b{i}" for i in range(9)])
     b = " ".join([f"c{i}" for i in range(11)] + run + [f"d{i}" for i in range(40)])
     assert {h for h, _ in winnow(a)} & {h for h, _ in winnow(b)}
+
+
+def test_prefix_filter_loses_no_link(spark, monkeypatch):
+    """Without stars every link must come from the prefix filter."""
+    monkeypatch.setattr(nd, "STARS", 0)
+    r = random.Random(21)
+    rows = []
+    for g in range(6):  # groups around the threshold: each copy has edits of its own
+        base = [f"g{g}w{k}" for k in range(r.choice([30, 90, 200]))]
+        for k in range(25):
+            words = list(base)
+            for _ in range(r.randrange(0, max(len(base) // 20, 2))):
+                at = r.randrange(len(words))
+                words[at:at + r.choice([0, 1, 1])] = [f"own{g}x{k}y{r.randrange(9)}"]
+            rows.append((100 * g + k, " ".join(words)))
+    got = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute_components(rows, 3, 85))
+    assert len({x.component_id for x in got}) > 20
+
+
+def test_class_filter_knows_every_class(spark, monkeypatch):
+    keys = np.random.Generator(np.random.PCG64(4)).integers(-2**63, 2**63, 3000)
+    active = spark.createDataFrame([(int(k),) for k in keys], "a long")
+    for bits in (1 << 13, 1 << 28):
+        monkeypatch.setattr(nd, "FILTER_BITS", bits)
+        known = nd.class_filter(active)
+        assert len(known) * 8 == min(1 << 16, bits)
+        assert all((((known[p >> 3] >> (p & 7)) & 1) == 1).all() for p in nd._filter_bits(keys.view(np.uint64), 8 * len(known)))

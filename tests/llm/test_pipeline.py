@@ -21,7 +21,7 @@ def test_query(spark, name):
 
 
 def test_numbers_are_registered_once():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name,label,least", [("op2_toxicity", "toxic", 0.9), ("op4_quality_classifier", "quality", 0.95)])
