@@ -21,12 +21,10 @@ from chronolith.llm.common import mix, signed, slices, span_hashes, stored
 LEVELS = (1, 2, 4, 16)
 #: Places of a term and bits of a signature for each entry (2.4 false places in a thousand).
 PLACES, BITS = 4, 16
-#: Documents of a block, and bits of a block at most (a single document may need more).
-BLOCK, BLOCK_BITS = 1024, 1 << 23
+#: Documents of a block, and bits of a block at most (a single document may need more): rows of 128 KB.
+BLOCK, BLOCK_BITS = 512, 1 << 20
 #: Items that are answered together, and their distinct terms at most (one longer item comes alone).
 ITEMS, ITEM_TERMS = 512, 1 << 15
-#: Bytes of the bound matrices of a step.
-STEP = 64 << 20
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 # A term: a run of characters but the ASCII ones that are neither letters nor digits.
@@ -77,9 +75,9 @@ def frequencies(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def places(h: np.ndarray, level: int, width: np.ndarray | int) -> np.ndarray:
-    """The PLACES places of each term in a signature of `width` bits (a power of two)."""
+    """The PLACES places of each term in a signature of `width` bits."""
     salted = h[:, None] ^ (_SALTS[None, :] * np.uint64(2 * level + 1))
-    return (mix(salted) & (np.asarray(width, np.uint64) - np.uint64(1))).astype(np.int64)
+    return (mix(salted) % np.asarray(width, np.uint64)).astype(np.int64)
 
 
 def build_blocks(n: np.ndarray, doc: np.ndarray, h: np.ndarray, tf: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
@@ -92,10 +90,8 @@ def build_blocks(n: np.ndarray, doc: np.ndarray, h: np.ndarray, tf: np.ndarray)
     order = order[n[order] > 0][::-1]
     at = 0
     while at < len(order):
-        width = 64
-        while width < BITS * entries[order[at]]:
-            width *= 2
-        many = max(1, min(BLOCK, BLOCK_BITS // width))
+        width = int(-(-BITS * entries[order[at]] // 64)) * 64
+        many = max(8, min(BLOCK, BLOCK_BITS // width))
         group = order[at:at + many]
         at += many
         bits = np.zeros((width, len(group)), bool)
@@ -235,7 +231,8 @@ def _best(table: pa.Table, best: int) -> pa.Table:
 def exact_scores(docs: DataFrame, wanted: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
     """(item, doc_id, score, row number inside the batch) for every row of a document that is wanted by some item."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    lists = wanted.groupBy("doc_id").agg(F.collect_set("item").alias("items"))
+    # Written first: the planner knows its size, and broadcasts a small list instead of moving the texts.
+    lists = stored(wanted.groupBy("doc_id").agg(F.collect_set("item").alias("items")), "wanted")
     named = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     read = named.join(lists, F.col("id").eqNullSafe(F.col("doc_id"))).select("id", "t", "items")
 
@@ -327,7 +324,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, best: int = 50, doc_id: str
         for row in first.select("item", "score").collect():
             least[row["item"]] = row["score"]
         threshold = spark.sparkContext.broadcast(least)
-        wanted = stored(bound_rows(index, shared, best, threshold).select("item", "doc_id"), "candidates")
+        wanted = bound_rows(index, shared, best, threshold).select("item", "doc_id")
         ranked = top_rows(exact_scores(docs, wanted, shared, doc_id, text), best, "score")
         numbered = ranked.select((F.col("item") + step.start).alias("item"), F.col("rank").cast("int").alias("rank"), "doc_id", "score")
         answers = numbered if answers is None else answers.unionByName(numbered)
