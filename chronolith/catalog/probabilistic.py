@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolith.catalog.base import H, TRAIN_END, VAL_END, W, hf, holidays, query, rd, rs, sql
+from chronolith.catalog.base import D, H, TRAIN_END, VAL_END, W, d, hf, holidays, query, rd, rs, sql
 from chronolith.catalog.models import _FEAT, _TS, features
 from chronolith.operators import backtest, bands, boosting, recursion
 from chronolith.operators.clean import chrono_split
+from chronolith.operators.grid import over_spans
 from chronolith.operators.windows import seasonal_naive, widest_interval_window
 from chronolith.plans.profile import error_profile
-from chronolith.sources.tables import materialize, work_folder
+from chronolith.sources.tables import grow_features, materialize, store_raw, work_folder, write_features
 
 # --- daily refits with bands from the residuals before each fold ------------------
 
@@ -188,3 +189,84 @@ def _(s, sf):
     boosting.save_boosted(model, path)
     out = boosting.predict_boosted(f.where("split = 'test'"), boosting.load_boosted(s, path), ["series_id"], _XS)
     return out.groupBy("series_id", "trial").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("y_pred"))).alias("mae")).withColumn("mae", rd("mae", 4))
+
+
+# --- pinball trees ------------------------------------------------------------------------
+
+_TAUS = (0.05, 0.5, 0.95)
+
+
+def _quantile_forest_sql(train: str, rounds: int, step: float, tag: str = "p") -> dict[str, str]:
+    """Depth-1 boosting of the pinball loss: splits by slope, leaves by residual quantile."""
+    ranks = [k / _BINS for k in range(1, _BINS)]
+    out = {f"{tag}x": " UNION ALL ".join(f"SELECT series_id, ts, y, {k} AS feature, {x} AS x FROM {train}" for k, x in enumerate(_XS)),
+           f"{tag}e": f"SELECT DISTINCT series_id, feature, unnest(quantile_disc(x, {ranks})) AS edge FROM {tag}x GROUP BY 1, 2",
+           f"{tag}base": " UNION ALL ".join(f"SELECT series_id, {k} AS trial, {t}::DOUBLE AS tau, quantile_disc(y, {t}) AS base FROM {train} GROUP BY 1" for k, t in enumerate(_TAUS)),
+           f"{tag}f0": f"SELECT v.series_id, ts, y, trial, tau, base AS f FROM {train} v JOIN {tag}base b ON b.series_id = v.series_id"}
+    leaf = "CASE trial " + " ".join(f"WHEN {k} THEN quantile_disc(y - f, {t}) FILTER (WHERE {{side}})" for k, t in enumerate(_TAUS)) + " END"
+    for r in range(rounds):
+        out[f"{tag}c{r}"] = f"""SELECT series_id, trial, feature, edge FROM (SELECT e.series_id, g.trial, e.feature, e.edge,
+            sum(tau - (g.y - g.f <= 0)::INT) FILTER (WHERE x.x <= e.edge) AS gl, count(*) FILTER (WHERE x.x <= e.edge) AS nl,
+            sum(tau - (g.y - g.f <= 0)::INT) AS gt, count(*) AS nt FROM {tag}e e JOIN {tag}x x ON x.series_id = e.series_id AND x.feature = e.feature
+            JOIN {tag}f{r} g ON g.series_id = x.series_id AND g.ts = x.ts GROUP BY 1, 2, 3, 4) WHERE nl > 0 AND nl < nt
+            QUALIFY row_number() OVER (PARTITION BY series_id, trial ORDER BY round(gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) - gt * gt / nt, 6) DESC,
+            feature, edge) = 1"""
+        out[f"{tag}s{r}"] = f"""SELECT series_id, trial, feature, edge, {step} * {leaf.format(side='x <= edge')} AS lv, {step} * {leaf.format(side='x > edge')} AS rv
+            FROM (SELECT g.series_id, g.trial, c.feature, c.edge, g.y, g.f, x.x FROM {tag}f{r} g JOIN {tag}c{r} c ON c.series_id = g.series_id AND c.trial = g.trial
+            JOIN {tag}x x ON x.series_id = g.series_id AND x.ts = g.ts AND x.feature = c.feature) GROUP BY series_id, trial, feature, edge"""
+        out[f"{tag}f{r + 1}"] = f"""SELECT g.series_id, g.ts, g.y, g.trial, g.tau, g.f + CASE WHEN x.x <= s.edge THEN s.lv ELSE s.rv END AS f
+            FROM {tag}f{r} g JOIN {tag}s{r} s ON s.series_id = g.series_id AND s.trial = g.trial
+            JOIN {tag}x x ON x.series_id = g.series_id AND x.ts = g.ts AND x.feature = s.feature"""
+    return out
+
+
+def _quantile_scored_sql(rows: str, rounds: int, tag: str = "p") -> str:
+    value = " + ".join([f"CASE WHEN (CASE s{r}.feature WHEN 0 THEN v.{_XS[0]} ELSE v.{_XS[1]} END) <= s{r}.edge THEN s{r}.lv ELSE s{r}.rv END" for r in range(rounds)])
+    joins = " ".join(f"JOIN {tag}s{r} s{r} ON s{r}.series_id = v.series_id AND s{r}.trial = b.trial" for r in range(rounds))
+    return f"SELECT v.series_id, v.ts, list_sort(list(b.base + {value})) AS q FROM {rows} v JOIN {tag}base b ON b.series_id = v.series_id {joins} GROUP BY 1, 2"
+
+
+@query("quantile_trees", sql("hf", f"SELECT series_id, ts, {rs('q[1]')} AS q05, {rs('q[2]')} AS q50, {rs('q[3]')} AS q95 FROM scored", f=_FEAT, tr=_TRAINED,
+                             ho=f"SELECT * FROM f WHERE ts > {_TS}", **_quantile_forest_sql("tr", 3, 0.5), scored=_quantile_scored_sql("ho", 3)))
+def _(s, sf):
+    f = materialize(features(s, sf), s)
+    early = F.col("ts") <= F.lit(TRAIN_END).cast("timestamp_ntz")
+    model = boosting.fit_quantile_panel(f.where(early), ["series_id"], _XS, lambda df: materialize(df, s), taus=_TAUS, rounds=3, bins=_BINS, step=0.5, depth=1)
+    out = boosting.predict_quantiles(f.where(~early), model, ["series_id", "ts"], ["series_id"], _XS, _TAUS, 1)
+    return out.select("series_id", "ts", *[rd(q).alias(q) for q in ("q05", "q50", "q95")])
+
+
+# --- versions of a fit ----------------------------------------------------------------------
+
+@query("score_as_of", sql("hf", f"""SELECT f.series_id, f.ts, r.day AS valid_from, {rs('r.b0 + r.b1 * f.lag_24', 4)} AS y_pred FROM f LEFT JOIN (
+    SELECT t.series_id, t.day, regr_slope(h.y, h.lag_24) AS b1, regr_intercept(h.y, h.lag_24) AS b0
+    FROM (SELECT DISTINCT series_id, TIMESTAMP '2024-01-21' + INTERVAL 3 DAY * (datediff('day', TIMESTAMP '2024-01-21', ts) // 3) AS day FROM f WHERE ts > {_TS}) t
+    JOIN f h ON h.series_id = t.series_id AND h.ts < t.day GROUP BY 1, 2) r
+    ON f.series_id = r.series_id AND r.day = TIMESTAMP '2024-01-21' + INTERVAL 3 DAY * (datediff('day', TIMESTAMP '2024-01-21', f.ts) // 3) AND f.ts > {_TS}""", f=_FEAT))
+def _(s, sf):
+    """Every row under the version of the fit that is in force, versions made every three days."""
+    f = features(s, sf)
+    versions = materialize(backtest.versioned_fits(f, H, ["lag_24"], "2024-01-21 00:00:00", retrain_every=3), s)
+    return backtest.score_as_of(f, versions, H, ["lag_24"]).select("series_id", "ts", "valid_from", rd("y_pred", 4).alias("y_pred"))
+
+
+# --- a feature table that grows -----------------------------------------------------------------
+
+def _order_features(df):
+    return over_spans(df, D, lambda f: {"lag_1": f.at("y", -1), "lag_7": f.at("y", -7), "mean_7": f.full(F.avg, "y", -7, -1)}, back=7)
+
+
+@query("grow_features", sql("d", f"""SELECT series_id, ts, y, lag_1, lag_7, {rs('CASE WHEN c = 7 THEN m END', 4)} AS mean_7 FROM (
+    SELECT a.series_id, a.ts, a.y, b.y AS lag_1, e.y AS lag_7, avg(a.y) OVER w AS m, count(a.y) OVER w AS c FROM d a
+    LEFT JOIN d b ON b.series_id = a.series_id AND b.ts = a.ts - INTERVAL 1 DAY LEFT JOIN d e ON e.series_id = a.series_id AND e.ts = a.ts - INTERVAL 7 DAY
+    WINDOW w AS (PARTITION BY a.series_id ORDER BY a.ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))"""))
+def _(s, sf):
+    """The table built without two stretches of days, then grown by them: the same as one built at once."""
+    whole = materialize(d(s, sf), s)
+    late = (F.col("ts") >= F.lit("2001-07-30").cast("timestamp_ntz")) | F.col("ts").between(
+        F.lit("1997-02-26").cast("timestamp_ntz"), F.lit("1997-02-27").cast("timestamp_ntz"))
+    raw, stored = work_folder(s), work_folder(s)
+    store_raw(whole.where(~late), raw)
+    write_features(_order_features(whole.where(~late)), stored)
+    grow_features(s, raw, stored, whole.where(late), ["series_id", "ts"], _order_features, "7 days")
+    return s.read.parquet(stored).select("series_id", "ts", "y", "lag_1", "lag_7", rd("mean_7", 4).alias("mean_7"))

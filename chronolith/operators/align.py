@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from chronolith.functions.columns import floor_div, step_of
 from chronolith.operators.clean import dedup_first
+from chronolith.operators.grid import SPAN, Grid, with_carry
 
 
 def join_master(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -65,3 +67,38 @@ def append_rows(first: DataFrame, *more: DataFrame) -> DataFrame:
     for df in more:
         out = out.unionByName(df)
     return out
+
+
+def asof_join(df: DataFrame, versions: DataFrame, grid: Grid, valid_from: str = "valid_from", strict: bool = False,
+              span: int = SPAN) -> DataFrame:
+    """Adds the columns of the latest version of the row's series with valid_from <= ts (< ts if strict), and valid_from.
+
+    No join on a range: both sides are dealt out by series and span of time and ordered together, so the last version
+    seen is a running value; what comes from earlier spans is carried over a table of one row for each series and span.
+    Rows before the first version have NULLs; (series, valid_from) must be unique; rows with a NULL time match nothing.
+    """
+    by, ts = list(grid.by), F.col(grid.ts)
+    columns = [c for c in versions.columns if c not in by]
+    clash = [c for c in columns if c in df.columns]
+    if clash:
+        raise ValueError(f"columns on both sides: {clash}")
+
+    def span_of(c):
+        return floor_div(step_of(c, grid.step), span)
+
+    version = F.struct(*[F.col(f"`{c}`") for c in columns])
+    left = df.select("*", ts.alias("_at"), F.lit(None).cast(versions.select(version.alias("v")).schema["v"].dataType).alias("_version"), F.lit(1).alias("_side"))
+    right = versions.where(F.col(f"`{valid_from}`").isNotNull()).select(
+        *by, F.col(f"`{valid_from}`").alias("_at"), version.alias("_version"), F.lit(2 if strict else 0).alias("_side"))
+    both = (left.unionByName(right, allowMissingColumns=True).withColumn("_span", span_of(F.col("_at")))
+            .repartition(*by, "_span"))
+    inside = Window.partitionBy(*by, "_span").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_here", F.last("_version", ignorenulls=True).over(inside)).where("_side = 1")
+    spans = both.groupBy(*by, "_span").agg(F.max_by("_version", F.when(F.col("_side") != 1, F.col("_at"))).alias("_last"))
+    carried = with_carry(spans, grid, lambda before, after: {"_carry": F.last("_last", ignorenulls=True).over(before)}).drop("_last")
+    keys = {k: f"_c_{k}" for k in [*by, "_span"]}
+    other = carried.withColumnsRenamed(keys)
+    same = [seen[k].eqNullSafe(other[c]) for k, c in keys.items()]
+    found = F.when(ts.isNotNull(), F.coalesce("_here", "_carry"))
+    return (seen.join(other, same, "left").withColumn("_found", found)
+            .select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("_found")[c].alias(c) for c in columns]))

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chronolith.functions.columns import epoch_seconds, floor_div, ratio
+from chronolith.operators.align import asof_join
 from chronolith.operators.grid import Grid
 from chronolith.operators.models import collect_cells, gram_cells, linear_coefficients, linear_value
 from chronolith.operators.stats import join_groups
@@ -74,23 +75,19 @@ def score_status(expected: DataFrame, predictions: DataFrame, by: Iterable[str]
             .withColumn("ok", F.col("n_scored") > 0).select(*keys, "ok", "n_scored"))
 
 
-def walk_forward_retrain(df: DataFrame, grid: Grid, xs: Iterable[str], start: str, y: str = "y",
-                         retrain_every: int = 1, ridge: float = 0.0,
-                         centre: list[float] | None = None) -> DataFrame:
-    """Expanding-window linear forecasts, refitted every ``retrain_every`` days; adds y_pred.
+def fold_coefficients(df: DataFrame, grid: Grid, xs: Iterable[str], start: str, y: str = "y", retrain_every: int = 1,
+                      ridge: float = 0.0, centre: list[float] | None = None) -> DataFrame:
+    """(series, fold, beta): the fit of every fold on all rows before it; folds with too little history have no row.
 
     All folds come out of one job: small cross-product matrices per series and fold block, folded where the rows are
-    read (everything before ``start`` is one block), running sums of their cells over the blocks before each fold, one
-    small solve per fold, and a join back that keeps folds with too little history (NULL forecast).  A cell of a series
-    has one row per fold, so the running sum is bounded by the calendar.  ``centre`` holds a value near the mean of each
-    regressor and the target (a scaler's means, say): products are then taken around it.
+    read (everything before ``start`` is one block), running sums of their cells over the blocks before each fold, and one
+    small solve per fold.  A cell of a series has one row per fold, so the running sum is bounded by the calendar.
+    ``centre`` holds a value near the mean of each regressor and the target (a scaler's means, say): products are then
+    taken around it.
     """
     xs, by = list(xs), list(grid.by)
     width = len(xs) + 2
-    day0 = F.unix_date(F.to_date(F.lit(start).cast("timestamp_ntz")))
-    day = F.unix_date(F.to_date(grid.ts))
-    fold = F.when(day < day0, F.lit(-1)).otherwise(floor_div(day - day0, retrain_every)).cast("long")
-    data = df.withColumn("_fold", fold)
+    data = with_fold(df, grid, start, retrain_every)
     cells = gram_cells(data, [*by, "_fold"], xs, y, centre)
     # Folds without a complete row still need a model: they enter with empty matrices.
     wanted = data.where("_fold >= 0").select(*by, "_fold").distinct()
@@ -99,7 +96,40 @@ def walk_forward_retrain(df: DataFrame, grid: Grid, xs: Iterable[str], start: st
     before = Window.partitionBy(*by, "_i").orderBy("_fold").rowsBetween(Window.unboundedPreceding, -1)
     running = blocks.withColumn("_v", F.coalesce(F.sum("_v").over(before), F.lit(0.0))).where("_fold >= 0")
     history = collect_cells(running, [*by, "_fold"]).where(F.col("gram")[0] > len(xs) + 1)
-    coef = linear_coefficients(history, width, ridge=ridge, shift=centre)
-    return (join_groups(data.where("_fold >= 0"), coef, [*by, "_fold"], "left")
-            .withColumn("y_pred", linear_value(xs, F.col("beta")))
+    return linear_coefficients(history, width, ridge=ridge, shift=centre)
+
+
+def with_fold(df: DataFrame, grid: Grid, start: str, retrain_every: int) -> DataFrame:
+    """Adds _fold: stretches of `retrain_every` days from the day of `start` on, -1 before it."""
+    day0 = F.unix_date(F.to_date(F.lit(start).cast("timestamp_ntz")))
+    day = F.unix_date(F.to_date(grid.ts))
+    return df.withColumn("_fold", F.when(day < day0, F.lit(-1)).otherwise(floor_div(day - day0, retrain_every)).cast("long"))
+
+
+def walk_forward_retrain(df: DataFrame, grid: Grid, xs: Iterable[str], start: str, y: str = "y",
+                         retrain_every: int = 1, ridge: float = 0.0, centre: list[float] | None = None) -> DataFrame:
+    """Expanding-window linear forecasts, refitted every ``retrain_every`` days; adds fold and y_pred.
+
+    The fits of fold_coefficients are joined back by fold; folds without one keep their rows with a NULL forecast.
+    """
+    xs, by = list(xs), list(grid.by)
+    coef = fold_coefficients(df, grid, xs, start, y, retrain_every, ridge, centre)
+    data = with_fold(df, grid, start, retrain_every).where("_fold >= 0")
+    return (join_groups(data, coef, [*by, "_fold"], "left").withColumn("y_pred", linear_value(xs, F.col("beta")))
             .withColumnRenamed("_fold", "fold").drop("beta"))
+
+
+# --- versions of a fit ------------------------------------------------------------------
+
+def versioned_fits(df: DataFrame, grid: Grid, xs: Iterable[str], start: str, y: str = "y", retrain_every: int = 1,
+                   ridge: float = 0.0, centre: list[float] | None = None) -> DataFrame:
+    """(series, valid_from, beta): the coefficients that are in force from a moment on, until the next version."""
+    first = F.to_date(F.lit(start).cast("timestamp_ntz"))
+    coef = fold_coefficients(df, grid, xs, start, y, retrain_every, ridge, centre)
+    return coef.select(*grid.by, F.date_add(first, (F.col("_fold") * retrain_every).cast("int")).cast("timestamp_ntz").alias("valid_from"), "beta")
+
+
+def score_as_of(df: DataFrame, versions: DataFrame, grid: Grid, xs: Iterable[str], name: str = "y_pred") -> DataFrame:
+    """Every row under the latest version that is in force at its time; NULL before the first one."""
+    held = asof_join(df, versions.select(*grid.by, "valid_from", "beta"), grid)
+    return held.withColumn(name, linear_value(xs, F.col("beta"))).drop("beta")

@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chronolith.operators.stats import join_groups
 
-#: What a trial sets; a trial may name some of them.
-DEFAULTS = {"step": 0.1, "depth": 3, "l2": 0.0, "min_rows": 1}
+#: What a trial sets; a trial may name some of them.  With `tau` it minimises the pinball loss of that level, else the
+#: squared error.
+DEFAULTS = {"step": 0.1, "depth": 3, "l2": 0.0, "min_rows": 1, "tau": None}
+#: Relative rank error of the sketches that give a leaf its residual quantile.
+LEAF_ACCURACY = 10_000
 #: Gains below this are rounding.
 LEAST_GAIN = 1e-6
 #: Rounds after which the predictions so far are written instead of being worked out from the trees again.
@@ -23,12 +26,17 @@ REFRESH = 10
 _SPLIT = "struct<feature:int,cut:int,left_value:double,right_value:double>"
 
 
-def bin_edges(train: DataFrame, by: Iterable[str], xs: Iterable[str], y: str = "y", bins: int = 32, accuracy: int = 10_000) -> DataFrame:
-    """(by, edges, base): for each feature the distinct values at ranks 1/bins, 2/bins, ..., and the mean of y."""
+def bin_edges(train: DataFrame, by: Iterable[str], xs: Iterable[str], y: str = "y", bins: int = 32, accuracy: int = 10_000,
+              taus: Iterable[float] = ()) -> DataFrame:
+    """(by, edges, mean, levels): for each feature the distinct values at ranks 1/bins, 2/bins, ..., the mean of y and its
+    quantiles at `taus`."""
     ranks = F.array(*[F.lit(k / bins) for k in range(1, bins)])
     none = F.array().cast("array<double>")
     edges = [F.coalesce(F.array_distinct(F.percentile_approx(F.col(f"`{x}`").cast("double"), ranks, accuracy)), none) for x in xs]
-    return train.where(F.col(f"`{y}`").isNotNull()).groupBy(*by).agg(F.array(*edges).alias("edges"), F.avg(F.col(f"`{y}`").cast("double")).alias("base"))
+    target = F.col(f"`{y}`").cast("double")
+    levels = [F.percentile_approx(target, F.lit(float(t)), accuracy) for t in taus]
+    return train.where(target.isNotNull()).groupBy(*by).agg(F.array(*edges).alias("edges"), F.avg(target).alias("mean"),
+                                                            F.array(*levels).cast("array<double>").alias("levels"))
 
 
 def row_bins(xs: Iterable[str], edges: Column) -> Column:
@@ -92,11 +100,16 @@ class Forest:
         self.keys = [*self.by, "trial"]
         self.depth = max(int({**DEFAULTS, **t}["depth"]) for t in trials)
         settings = [{**DEFAULTS, **t} for t in trials]
+        self.taus = sorted({float(t["tau"]) for t in settings if t["tau"] is not None})
         rows = F.array(*[F.struct(F.lit(k).alias("trial"), F.lit(float(t["step"])).alias("step"), F.lit(int(t["depth"])).alias("depth"),
-                                  F.lit(float(t["l2"])).alias("l2"), F.lit(int(t["min_rows"])).alias("min_rows"))
+                                  F.lit(float(t["l2"])).alias("l2"), F.lit(int(t["min_rows"])).alias("min_rows"),
+                                  F.lit(t["tau"]).cast("double").alias("tau"),
+                                  F.lit(None if t["tau"] is None else self.taus.index(float(t["tau"]))).cast("int").alias("level"))
                          for k, t in enumerate(settings)])
-        edges = store(bin_edges(train, self.by, self.xs, y, bins))
-        self.active = store(edges.select(*self.by, "edges", "base", F.inline(rows)))
+        edges = store(bin_edges(train, self.by, self.xs, y, bins, taus=self.taus))
+        base = F.when(F.col("tau").isNull(), F.col("mean")).otherwise(F.get("levels", F.col("level")))
+        self.active = store(edges.select(*self.by, "edges", "mean", "levels", F.inline(rows))
+                            .select(*self.by, "edges", base.alias("base"), "trial", "step", "depth", "l2", "min_rows", "tau", "level"))
         binned = join_groups(train.where(F.col(f"`{y}`").isNotNull()), edges, self.by)
         # Binned once for all trials, rounds and levels.
         self.rows = store(binned.select(*self.by, row_bins(self.xs, F.col("edges")).alias("_bins"),
@@ -161,15 +174,36 @@ class Forest:
                     data = data.withColumn("node", _at(F.col("tree"), F.col("_bins"), level)["node"]).where(F.col("node") >= (1 << level))
                 else:
                     data = data.withColumn("node", F.lit(1))
-                terms = data.select(*self.keys, "node", "step", "l2", "min_rows", (F.col("_y") - F.col("_f")).alias("_g"),
+                residual = F.col("_y") - F.col("_f")
+                slope = F.when(F.col("tau").isNull(), residual).otherwise(F.col("tau") - (residual <= 0).cast("double"))
+                terms = data.select(*self.keys, "node", "step", "l2", "min_rows", slope.alias("_g"),
                                     F.posexplode("_bins").alias("feature", "bin"))
                 hist = terms.groupBy(*self.keys, "node", "feature", "bin").agg(
                     F.sum("_g").alias("g"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("step", "l2", "min_rows")])
                 made = self.store(best_splits(hist, self.keys).withColumn("round", F.lit(self.round - 1)))
                 own.append(made)
+            if self.taus:
+                own = [self._renewed(current, own)]
             self.trees += own
             self.since += 1
 
+    def _renewed(self, current: DataFrame, own: list[DataFrame]) -> DataFrame:
+        """The splits of a round with the values of the leaves of pinball trials: residual quantiles, out of sketches."""
+        splits = own[0]
+        for p in own[1:]:
+            splits = splits.unionByName(p)
+        data = join_groups(current.where("tau IS NOT NULL"), self._maps(splits).drop("round"), self.keys)
+        leaves = (data.withColumn("node", _at(F.col("tree"), F.col("_bins"), self.depth)["node"])
+                  .groupBy(*self.keys, "node", "step", "level")
+                  .agg(F.percentile_approx(F.col("_y") - F.col("_f"), F.array(*[F.lit(t) for t in self.taus]), LEAF_ACCURACY).alias("q"))
+                  .select(*self.keys, F.col("node").alias("_leaf"), (F.col("step") * F.get("q", F.col("level"))).alias("_value")))
+        leaves = self.store(leaves)
+        out = splits
+        for side, column in ((0, "left_value"), (1, "right_value")):
+            out = join_groups(out.withColumn("_leaf", F.col("node") * 2 + side), leaves, [*self.keys, "_leaf"], "left")
+            out = out.withColumn(column, F.coalesce("_value", column)).drop("_leaf", "_value")
+        return self.store(out)
+
     def keep(self, chosen: DataFrame) -> None:
         """Goes on with these keys only."""
         self.active = self.store(self.active.join(chosen.select(*self.keys).distinct(), self.keys, "left_semi"))
@@ -237,6 +271,34 @@ def refit_champions(train: DataFrame, champions: DataFrame, by: Iterable[str], x
     return store(forest.model())
 
 
+def fit_quantile_panel(train: DataFrame, by: Iterable[str], xs: Iterable[str], store: Callable[[DataFrame], DataFrame], y: str = "y",
+                       taus: Iterable[float] = (0.05, 0.5, 0.95), rounds: int = 100, bins: int = 32, **settings) -> DataFrame:
+    """One boosted model for each series and level, all grown together; trial k is the k-th level in ascending order.
+
+    Splits follow the slope of the pinball loss, a leaf's value is the residual quantile of its rows.
+    """
+    forest = Forest(train, by, xs, y, [{**settings, "tau": t} for t in sorted(taus)], bins, store)
+    forest.grow(rounds)
+    return store(forest.model())
+
+
+def predict_quantiles(df: DataFrame, model: DataFrame, keys: Iterable[str], by: Iterable[str], xs: Iterable[str],
+                      taus: Iterable[float] = (0.05, 0.5, 0.95), depth: int | None = None) -> DataFrame:
+    """(keys, q05, q50, ...): the levels of each row in ascending order, so that they cannot cross.  `keys` name a row.
+
+    The models of a series come as one list, so a row is met once for all levels; a series without models has NULLs.
+    """
+    taus, by = sorted(taus), list(by)
+    if depth is None:
+        depth = int(model.agg(F.max("depth")).first()[0] or 0)
+    lists = model.groupBy(*by).agg(F.first("edges").alias("edges"), F.transform(
+        F.sort_array(F.collect_list(F.struct("trial", "base", F.transform("trees", F.map_entries).alias("trees")))), lambda m: m).alias("models"))
+    joined = join_groups(df, lists, by, "left").withColumn("_bins", row_bins(xs, F.col("edges")))
+    values = F.array_sort(F.transform("models", lambda m: m["base"] + trees_value(
+        F.transform(m["trees"], F.map_from_entries), F.col("_bins"), depth)))
+    return joined.withColumn("_q", values).select(*keys, *[F.get("_q", F.lit(k)).alias(f"q{round(t * 100):02d}") for k, t in enumerate(taus)])
+
+
 def save_boosted(model: DataFrame, path: str) -> None:
     """A model is a table: one row for each series."""
     model.write.mode("overwrite").parquet(path)

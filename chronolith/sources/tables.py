@@ -105,6 +105,53 @@ def write_feature_matrices(matrices: dict[str, DataFrame], folder: str, ts: dict
         write_features(df, f"{folder}/{name}", ts if isinstance(ts, str) else ts[name])
 
 
+def month_of(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM")
+
+
+def store_raw(df: DataFrame, path: str, ts: str = "ts") -> None:
+    """A raw table by month, the form that grow_features appends to."""
+    write_features(df, path, ts)
+
+
+def grow_features(spark: SparkSession, raw_path: str, feature_path: str, new_rows: DataFrame, keys: Iterable[str],
+                  build: Callable[[DataFrame], DataFrame], back: str, ts: str = "ts") -> list[str]:
+    """Takes new raw rows into a stored feature table without building it anew; returns the months it rewrote.
+
+    `keys` name a raw row: a new row replaces a stored one.  `build` turns raw rows into features with the same `ts`, and
+    must be clock-based: a feature of a row depends on raw rows of the stretch `back` (as "47 hours") before it, and on
+    none after it.  Rewritten are the months that hold a new row or whose features reach back to one; read are these and
+    those that their features reach back to, all other months are pruned.  Months are replaced whole (dynamic partition
+    overwrite), so a run that is repeated gives the same table.
+    """
+    keys = list(keys)
+    new = materialize(with_month(new_rows, ts), spark)
+    late = F.col(ts) + F.expr(f"INTERVAL {back}")
+    # Months of new rows and of the rows their values reach: one short list on the driver, bounded by the calendar.
+    touched = sorted({r[0] for r in new.select(F.explode(F.sequence(F.trunc(F.to_date(ts), "month"), F.trunc(F.to_date(late), "month"),
+                                                                    F.expr("INTERVAL 1 MONTH"))).alias("m"))
+                      .select(month_of(F.col("m"))).distinct().collect()})
+    if not touched:
+        return []
+    own = [r[0] for r in new.select("ym").distinct().collect()]
+    stored_raw = spark.read.parquet(raw_path)
+    kept = stored_raw.where(F.col("ym").isin(own)).join(new.select(*keys), keys, "left_anti")
+    replaced = materialize(kept.unionByName(new, allowMissingColumns=True), spark)
+    _replace_months(replaced, raw_path)
+    known = {r[0] for r in spark.read.parquet(raw_path).select("ym").distinct().collect()}
+    touched = [m for m in touched if m in known]
+    first = F.lit(touched[0] + "-01").cast("timestamp_ntz") - F.expr(f"INTERVAL {back}")
+    needed = spark.read.parquet(raw_path).where(F.col("ym").between(month_of(first), F.lit(touched[-1]))).drop("ym")
+    features = with_month(build(needed), ts).where(F.col("ym").isin(touched))
+    _replace_months(materialize(features, spark), feature_path)
+    return touched
+
+
+def _replace_months(df: DataFrame, path: str) -> None:
+    (df.hint("rebalance", F.col("ym")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("ym").parquet(path))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)

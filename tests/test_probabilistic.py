@@ -230,3 +230,109 @@ def test_histograms_are_added_before_they_move(spark):
     plan = hist._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") >= 2 and "CartesianProduct" not in plan
     assert hist.count() <= 2 * 2 * 6
+
+
+def test_pinball_trees_are_plain_pinball_boosting(spark):
+    df = table(spark, 11)
+    store = lambda d: materialize(d, spark)
+    taus, step, rounds, depth = (0.1, 0.5, 0.9), 0.4, 4, 2
+    model = boosting.fit_quantile_panel(df, ["series_id"], ["x1", "x2"], store, taus=taus, rounds=rounds, bins=5, step=step, depth=depth)
+    out = boosting.predict_quantiles(df, model, ["series_id", "k"], ["series_id"], ["x1", "x2"], taus).collect()
+    rows = sorted(df.collect(), key=lambda r: r.k)
+    trees = {(m.series_id, m.trial): m for m in model.collect()}
+
+    def disc(v, tau):
+        return sorted(v)[max(int(np.ceil(round(tau * len(v), 9))), 1) - 1]
+
+    for s in ("a", "b"):
+        own = [r for r in rows if r.series_id == s]
+        y = np.array([r.y for r in own])
+        made = []
+        for trial, tau in enumerate(taus):
+            edges = trees[s, trial].edges
+            bins = np.array([[sum(e < v for e in edges[k]) for k, v in enumerate((r.x1, r.x2))] for r in own])
+            f = np.full(len(y), disc(y, tau))
+            for _ in range(rounds):
+                node, r = np.ones(len(y), int), y - f
+                g = np.where(r > 0, tau, tau - 1)
+                split = False
+                for level in range(depth):
+                    for n in sorted(set(node[node >= 1 << level])):
+                        at = np.flatnonzero(node == n)
+                        best = None
+                        for k in range(2):
+                            for cut in sorted(set(bins[at, k])):
+                                left, right = at[bins[at, k] <= cut], at[bins[at, k] > cut]
+                                if len(left) and len(right):
+                                    gain = round(g[left].sum() ** 2 / len(left) + g[right].sum() ** 2 / len(right) - g[at].sum() ** 2 / len(at), 6)
+                                    if gain > 1e-6 and (best is None or gain > best[0]):
+                                        best = (gain, left, right)
+                        if best:
+                            node[best[1]], node[best[2]], split = 2 * n, 2 * n + 1, True
+                if split:
+                    for n in set(node):
+                        f[node == n] += step * disc(r[node == n], tau)
+            made.append(f)
+        want = np.sort(np.array(made), axis=0)
+        got = {r.k: (r.q10, r.q50, r.q90) for r in out if r.series_id == s}
+        for i, r in enumerate(own):
+            assert np.allclose(got[r.k], want[:, i], atol=1e-9)
+    share = np.mean([r.y < q for r, q in ((r, next(o.q90 for o in out if (o.series_id, o.k) == (r.series_id, r.k))) for r in rows[:80])])
+    assert 0.75 < share <= 1
+
+
+# --- versions --------------------------------------------------------------------------------
+
+def test_scoring_as_of_is_retraining(spark, monkeypatch):
+    monkeypatch.setattr(grids, "SPAN", 16)
+    df = hours(spark, 300).withColumn("x", F.cos(F.hour("ts") / 4.0))
+    want = {(r.series_id, r.ts): r.y_pred for r in backtest.walk_forward_retrain(df, H, ["x"], "2024-01-04 00:00:00", retrain_every=2).collect()}
+    versions = backtest.versioned_fits(df, H, ["x"], "2024-01-04 00:00:00", retrain_every=2)
+    got = backtest.score_as_of(df, versions, H, ["x"]).collect()
+    assert len(got) == 600
+    for r in got:
+        w = want.get((r.series_id, r.ts))
+        assert (r.y_pred is None) == (w is None) and (w is None or abs(r.y_pred - w) < 1e-9)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join_carries_versions_over_spans(spark, strict):
+    from chronolith.operators.align import asof_join
+    df = hours(spark, 120).where("NOT (series_id = 'a' AND hour(ts) = 7)")
+    df = df.unionByName(spark.createDataFrame([("a", None, 1.0), ("c", T0, 2.0)], df.schema))
+    r = random.Random(2)
+    marks = {(s, T0 + timedelta(hours=h)): h * 10 for s in ("a", "b", "d") for h in r.sample(range(-50, 110), 6)}
+    versions = spark.createDataFrame([(s, t, v) for (s, t), v in marks.items()] + [("a", None, -1)], "series_id string, valid_from timestamp_ntz, v int")
+    got = asof_join(df, versions, H, strict=strict, span=8).collect()
+    assert len(got) == df.count()
+    for x in got:
+        known = [(t, v) for (s, t), v in marks.items() if s == x.series_id and x.ts is not None and (t < x.ts or t == x.ts and not strict)]
+        assert (x.valid_from, x.v) == (max(known) if known else (None, None))
+    plan = asof_join(df, versions, H)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    with pytest.raises(ValueError):
+        asof_join(df, versions.withColumnRenamed("v", "y"), H)
+
+
+# --- growing tables ------------------------------------------------------------------------------
+
+def test_grown_table_is_the_rebuilt_one(spark):
+    from chronolith.operators.grid import over_spans
+    from chronolith.sources.tables import grow_features, store_raw, work_folder, write_features
+    df = hours(spark, 24 * 100)
+    build = lambda x: over_spans(x, H, lambda f: {"lag": f.at("y", -30), "mean": f.full(F.avg, "y", -48, -1)}, back=48)
+    late = F.col("ts") >= F.lit("2024-04-01").cast("timestamp_ntz")
+    raw, path = work_folder(spark), work_folder(spark)
+    store_raw(df.where(~late), raw)
+    write_features(build(df.where(~late)), path)
+    untouched = lambda: {f for f in spark.read.parquet(path).inputFiles() if "ym=2024-01" in f}
+    before = untouched()
+    fixed = df.where("ts = '2024-02-29T12:00:00' AND series_id = 'a'").withColumn("y", F.lit(-5.0))
+    want = build(df.withColumn("y", F.when((F.col("ts") == F.lit("2024-02-29 12:00:00").cast("timestamp_ntz")) & (F.col("series_id") == "a"), -5.0).otherwise(F.col("y"))))
+    for _ in range(2):  # once more changes nothing
+        months = grow_features(spark, raw, path, df.where(late).unionByName(fixed), ["series_id", "ts"], build, "48 hours")
+        assert months == ["2024-02", "2024-03", "2024-04"]
+        rows = lambda x: sorted((r.series_id, r.ts, r.y, r["lag"], None if r["mean"] is None else round(r["mean"], 9)) for r in x.collect())
+        assert rows(spark.read.parquet(path)) == rows(want)
+    assert untouched() == before and before
+    assert grow_features(spark, raw, path, df.limit(0), ["series_id", "ts"], build, "48 hours") == []
