@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolith.catalog.base import D, H, TRAIN_END, VAL_END, W, d, hf, holidays, query, rd, rs, sql
+from chronolith.catalog.base import D, H, TRAIN_END, VAL_END, W, d, h, hf, holidays, query, rd, rs, sql
 from chronolith.catalog.models import _FEAT, _TS, features
-from chronolith.operators import backtest, bands, boosting, recursion
+from chronolith.operators import backtest, bands, boosting, differencing, recursion
 from chronolith.operators.clean import chrono_split
 from chronolith.operators.grid import over_spans
 from chronolith.operators.windows import seasonal_naive, widest_interval_window
@@ -270,3 +270,26 @@ def _(s, sf):
     write_features(_order_features(whole.where(~late)), stored)
     grow_features(s, raw, stored, whole.where(late), ["series_id", "ts"], _order_features, "7 days")
     return s.read.parquet(stored).select("series_id", "ts", "y", "lag_1", "lag_7", rd("mean_7", 4).alias("mean_7"))
+
+
+# --- differences that the tests choose ---------------------------------------------------------------
+
+_LAG = 12
+
+
+@query("difference_by_test", sql("h", f"""SELECT x.series_id, x.ts, o.stage, {rs("CASE o.stage WHEN 'raw' THEN raw WHEN 'D1' THEN d1 ELSE d2 END", 4)} AS z
+    FROM x JOIN o ON o.series_id = x.series_id""",
+    x=f"""SELECT series_id, ts, y AS raw, y - lag(y, 24) {W} AS d1, y - lag(y, 24) {W} - (lag(y, 1) {W} - lag(y, 25) {W}) AS d2 FROM h""",
+    long="SELECT series_id, ts, 'raw' AS stage, raw AS v FROM x UNION ALL SELECT series_id, ts, 'D1', d1 FROM x UNION ALL SELECT series_id, ts, 'd1_D1', d2 FROM x",
+    c="""SELECT series_id, stage, v - avg(v) OVER (PARTITION BY series_id, stage) AS dv, count(*) OVER (PARTITION BY series_id, stage) AS n,
+    row_number() OVER (PARTITION BY series_id, stage ORDER BY ts) AS rn FROM long WHERE v IS NOT NULL""",
+    e="""SELECT series_id, stage, sum(cs * cs) / max(n * n) AS eta FROM (SELECT *, sum(dv) OVER (PARTITION BY series_id, stage ORDER BY rn) AS cs FROM c) GROUP BY 1, 2""",
+    v=f"""SELECT series_id, stage, sum(CASE WHEN lag = 0 THEN gamma ELSE 2 * (1 - lag / ({_LAG} + 1)::DOUBLE) * gamma END) AS v FROM (
+    SELECT a.series_id, a.stage, k.k AS lag, sum(a.dv * b.dv) / max(a.n) AS gamma FROM range(0, {_LAG + 1}) k(k), c a
+    JOIN c b ON a.series_id = b.series_id AND a.stage = b.stage AND b.rn = a.rn + k.k GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    o="""SELECT series_id, coalesce(min_by(stage, list_position(['raw', 'D1', 'd1_D1'], stage)) FILTER (WHERE eta / v < 0.463), 'd1_D1') AS stage
+    FROM e JOIN v USING (series_id, stage) GROUP BY 1"""))
+def _(s, sf):
+    data = h(s, sf).select("series_id", "ts", "y")
+    orders = differencing.differencing_orders(data, H, n_lags=_LAG, tests="kpss")
+    return differencing.apply_differencing(data, H, orders).select("series_id", "ts", "stage", rd("z", 4).alias("z"))

@@ -132,6 +132,13 @@ def chrono_split(df: DataFrame, train_end: str, val_end: str, ts: str = "ts") ->
     return df.withColumn("split", split_label(ts, train_end, val_end))
 
 
+def split_rows(df: DataFrame, train_end: str, val_end: str, part: str, ts: str = "ts") -> DataFrame:
+    """The rows of one part ("train", "val" or "test") as a range of times, which reaches the scan as a filter."""
+    t, a, b = F.col(ts), F.lit(train_end).cast("timestamp_ntz"), F.lit(val_end).cast("timestamp_ntz")
+    where = {"train": t <= a, "val": (t > a) & (t <= b), "test": t > b}
+    return df.where(where[part])
+
+
 def mask_invalid(df: DataFrame, prediction: str = "y_pred") -> DataFrame:
     """Rows with a usable prediction (neither NULL nor NaN)."""
     return df.where(F.col(prediction).isNotNull() & ~F.isnan(prediction))

@@ -245,6 +245,7 @@ def additive_forecast(df: DataFrame, by: Iterable[str], train_start: str, train_
                       **design) -> DataFrame:
     """Trend + seasonality + calendar regressors per series; adds y_pred.
 
+    Trained on the rows from ``train_start`` to ``train_end``; all rows are predicted.
     "multiplicative" fits the logarithm and keeps positive targets only.
     """
     by = list(by)
@@ -253,7 +254,7 @@ def additive_forecast(df: DataFrame, by: Iterable[str], train_start: str, train_
     target = F.col(y) if mode == "additive" else F.when(F.col(y) > 0, F.ln(y))
     full = (df.withColumn("_seconds", epoch_seconds(F.col(ts)).cast("double"))
             .withColumns({**columns, "_target": target}).drop("_seconds"))
-    train = full.where(F.col(ts) <= F.lit(train_end).cast("timestamp_ntz"))
+    train = full.where(F.col(ts).between(F.lit(train_start).cast("timestamp_ntz"), F.lit(train_end).cast("timestamp_ntz")))
     out = predict_panel(full, fit_panel(train, by, xs, "_target", ridge), by, xs)
     if mode != "additive":
         out = out.withColumn("y_pred", F.exp("y_pred"))

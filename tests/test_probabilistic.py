@@ -336,3 +336,45 @@ def test_grown_table_is_the_rebuilt_one(spark):
         assert rows(spark.read.parquet(path)) == rows(want)
     assert untouched() == before and before
     assert grow_features(spark, raw, path, df.limit(0), ["series_id", "ts"], build, "48 hours") == []
+
+
+# --- differences by test -----------------------------------------------------------------------
+
+def test_each_series_gets_the_differences_it_needs(spark):
+    from chronolith.operators import differencing as dg
+    r = random.Random(7)
+    n, rows, walk, season = 24 * 40, [], 0.0, [r.gauss(0, 3) for _ in range(24)]
+    drift = [0.0] * 24
+    for k in range(n):
+        ts = T0 + timedelta(hours=k)
+        walk += r.gauss(0, 1)
+        drift[k % 24] += r.gauss(0, 2)
+        rows += [("noise", ts, r.gauss(0, 1)), ("seasonal_walk", ts, drift[k % 24] + r.gauss(0, 0.1)), ("trend", ts, 0.02 * k * k / 100 + season[k % 24] + walk)]
+    df = spark.createDataFrame(rows + [("short", T0, 1.0)], "series_id string, ts timestamp_ntz, y double")
+    orders = {x.series_id: x.stage for x in dg.differencing_orders(df, H, max_lag=6, n_lags=24).collect()}
+    assert orders["noise"] == "raw" and orders["seasonal_walk"] != "raw" and orders["trend"] != "raw" and orders["short"] == "d1_D1"
+    given = spark.createDataFrame([("noise", "raw"), ("seasonal_walk", "D1"), ("trend", "d1_D1")], "series_id string, stage string")
+    out = dg.apply_differencing(df, H, given).withColumn("z_pred", F.col("z"))
+    y = {(s, t): v for s, t, v in rows}
+    hour = timedelta(hours=1)
+    back = {(x.series_id, x.ts): x for x in dg.restore_levels(out, H).collect()}
+    assert len(back) == len(rows) + 1 and back["short", T0].z == 1.0
+    for (s, t), v in y.items():
+        old = [y.get((s, t - k * hour)) for k in (1, 24, 25)]
+        want = {"noise": v, "seasonal_walk": None if old[1] is None else v - old[1],
+                "trend": None if old[2] is None else v - old[1] - (old[0] - old[2])}[s]
+        got = back[s, t]
+        assert (got.z is None) == (want is None) and (want is None or abs(got.z - want) < 1e-9)
+        # The difference itself as forecast gives the value back.
+        assert got.y_pred is None if want is None else abs(got.y_pred - v) < 1e-9
+
+
+def test_parts_of_a_split_reach_the_scan(spark):
+    from chronolith.operators.clean import chrono_split, split_rows
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    ends = ("2024-01-20 23:00:00", "2024-01-25 23:00:00")
+    for part in ("train", "val", "test"):
+        own = split_rows(df, *ends, part)
+        assert own.count() == chrono_split(df, *ends).where(F.col("split") == part).count()
+        text = own._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [IsNotNull(ts)" in text and ("LessThanOrEqual(ts" in text or "GreaterThan(ts" in text)
