@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from chronolith.catalog.base import D, H, TRAIN_END, VAL_END, W, d, h, hf, holidays, query, rd, rs, sql
 from chronolith.catalog.models import _FEAT, _TS, features
-from chronolith.operators import backtest, bands, boosting, differencing, recursion
+from chronolith.functions.columns import epoch_seconds
+from chronolith.operators import backtest, bands, boosting, differencing, models, recursion, sparse
 from chronolith.operators.clean import chrono_split
 from chronolith.operators.grid import over_spans
 from chronolith.operators.windows import seasonal_naive, widest_interval_window
@@ -293,3 +294,36 @@ def _(s, sf):
     data = h(s, sf).select("series_id", "ts", "y")
     orders = differencing.differencing_orders(data, H, n_lags=_LAG, tests="kpss")
     return differencing.apply_differencing(data, H, orders).select("series_id", "ts", "stage", rd("z", 4).alias("z"))
+
+
+# --- change points under a penalty ---------------------------------------------------------------------
+
+_PENALTIES = (0.02, 0.3)
+_A, _B = "1995-01-01 00:00:00", "1999-12-31 00:00:00"
+#: Trend and its single hinge, as the design of one knot has them.
+_T = f"(epoch(ts) - epoch(TIMESTAMP '{_A}')) / (epoch(TIMESTAMP '{_B}') - epoch(TIMESTAMP '{_A}'))::DOUBLE"
+
+
+@query("sparse_trend_path", sql("d", f"""SELECT x.series_id, penalty, {rs('b')} AS hinge, {rs('bt')} AS trend, {rs('my - bt * mt - b * mh', 4)} AS intercept FROM (
+    SELECT *, bs * sy / sh AS b, (rty - rht * bs) * sy / st AS bt FROM (SELECT *, CASE WHEN sign(c) * greatest(abs(c) - penalty, 0) = 0 THEN 0 ELSE
+    sign(c) * greatest(abs(c) - penalty, 0) / (1 - rht * rht) END AS bs FROM (SELECT *, rhy - rht * rty AS c FROM m, (VALUES """
+    + ", ".join(f"({p}::DOUBLE)" for p in _PENALTIES) + """) v(penalty)))) x""",
+    t=f"SELECT series_id, y, {_T} AS t, greatest({_T} - 0.4::DOUBLE, 0) AS hg FROM d WHERE ts BETWEEN TIMESTAMP '{_A}' AND TIMESTAMP '{_B}'",
+    m="""SELECT series_id, avg(y) AS my, avg(t) AS mt, avg(hg) AS mh, stddev_pop(y) AS sy, stddev_pop(t) AS st, stddev_pop(hg) AS sh, corr(hg, t) AS rht,
+    corr(hg, y) AS rhy, corr(t, y) AS rty FROM t GROUP BY 1"""))
+def _(s, sf):
+    columns = models.additive_design(epoch_seconds(F.col("ts")).cast("double"), _A, _B, knots=1, yearly=0, weekly=0, daily=0)
+    train = d(s, sf).where(F.col("ts").between(F.lit(_A).cast("timestamp_ntz"), F.lit(_B).cast("timestamp_ntz"))).withColumns(columns)
+    path = sparse.fit_path(train, ["series_id"], ["x_trend", "x_hinge_1"], ["x_hinge_1"], _PENALTIES)
+    rows = path.select("series_id", F.posexplode("betas").alias("k", "b"))
+    return rows.select("series_id", F.get(F.array(*[F.lit(p) for p in _PENALTIES]), F.col("k")).alias("penalty"),
+                       rd(F.col("b")[2]).alias("hinge"), rd(F.col("b")[1]).alias("trend"), rd(F.col("b")[0], 4).alias("intercept"))
+
+
+@query("sparse_trend_forecast")
+def _(s, sf):
+    """Twenty offered change points, the penalty by validation; error on the days after it."""
+    out = sparse.sparse_trend_forecast(d(s, sf), ["series_id"], _A, _B, "2000-12-31 00:00:00", (0.001, 0.003, 0.01, 0.03, 0.1, 0.3), knots=20, daily=0)
+    test = out.where(F.col("ts") > F.lit("2000-12-31").cast("timestamp_ntz"))
+    return (test.groupBy("series_id", "penalty", "n_changes").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("y_pred"))).alias("mae"))
+            .withColumn("mae", rd("mae", 3)))

@@ -378,3 +378,46 @@ def test_parts_of_a_split_reach_the_scan(spark):
         assert own.count() == chrono_split(df, *ends).where(F.col("split") == part).count()
         text = own._jdf.queryExecution().executedPlan().toString()
         assert "PushedFilters: [IsNotNull(ts)" in text and ("LessThanOrEqual(ts" in text or "GreaterThan(ts" in text)
+
+
+# --- change points --------------------------------------------------------------------------------
+
+def test_path_meets_the_conditions_of_its_minimum():
+    from chronolith.operators.sparse import lasso_path
+    r = np.random.Generator(np.random.PCG64(5))
+    x = r.normal(size=(300, 6)) @ r.normal(size=(6, 6))
+    x[:, 4] = 2.0  # constant
+    y = x @ np.array([1.0, 0, -2, 0, 5, 0.1]) + r.normal(size=300)
+    z = np.column_stack([np.ones(300), x, y])
+    penalties = [0.2, 0.01, 0.0]
+    pen = [2, 3, 6]
+    for penalty, beta in zip(penalties, lasso_path(z.T @ z, pen, penalties)):
+        resid = y - beta[0] - x @ beta[1:]
+        assert abs(resid.mean()) < 1e-8 and beta[5] == 0
+        for k in range(1, 7):
+            if k == 5:
+                continue
+            slope = (resid * (x[:, k - 1] - x[:, k - 1].mean())).mean() / (x[:, k - 1].std() * y.std())
+            if k not in pen or beta[k] != 0:
+                assert abs(slope - (penalty * np.sign(beta[k]) if k in pen else 0)) < 1e-7
+            else:
+                assert abs(slope) <= penalty + 1e-7
+    assert [b.tolist() for b in lasso_path(np.zeros((4, 4)), [1], [0.1])] == [[0, 0, 0]]
+
+
+def test_planted_change_points_are_found(spark):
+    from chronolith.operators.sparse import sparse_trend_forecast
+    r = random.Random(3)
+    rows = []
+    for k in range(1400):
+        ts = datetime(1995, 1, 1) + timedelta(days=k)
+        rows += [("bent", ts, 100 + 0.05 * k - (0.2 * (k - 480) if k > 480 else 0) + r.gauss(0, 1)), ("straight", ts, 50 + 0.03 * k + r.gauss(0, 1)),
+                 ("flat", ts, 7.0)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, y double")
+    out = sparse_trend_forecast(df, ["series_id"], "1995-01-01 00:00:00", "1998-01-01 00:00:00", "1998-06-01 00:00:00",
+                                [0.0005, 0.005, 0.05, 0.5], knots=9, yearly=0, weekly=0, daily=0)
+    last = {x.series_id: x for x in out.groupBy("series_id", "penalty", "n_changes").agg(
+        F.avg(F.when(F.col("ts") > F.lit("1998-06-01").cast("timestamp_ntz"), F.abs(F.col("y") - F.col("y_pred")))).alias("mae")).collect()}
+    assert 1 <= last["bent"].n_changes <= 5 and last["bent"].mae < 8
+    assert last["straight"].n_changes <= 2 and last["straight"].mae < 2.5
+    assert last["flat"].n_changes == 0 and last["flat"].mae < 1e-9
