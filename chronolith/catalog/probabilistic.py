@@ -327,3 +327,15 @@ def _(s, sf):
     test = out.where(F.col("ts") > F.lit("2000-12-31").cast("timestamp_ntz"))
     return (test.groupBy("series_id", "penalty", "n_changes").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("y_pred"))).alias("mae"))
             .withColumn("mae", rd("mae", 3)))
+
+
+# --- a probe that must find something ---------------------------------------------------------------------
+
+@query("leakage_probe_control", sql("hf", f"""SELECT 'lag_1' AS feature, count(*) FILTER (WHERE ts > {_TS} + INTERVAL 1 HOUR) AS n_changed FROM hf
+    WHERE ts <= {_TS} + INTERVAL 24 HOUR UNION ALL SELECT 'lag_23', count(*) FILTER (WHERE ts > {_TS} + INTERVAL 23 HOUR) FROM hf
+    WHERE ts <= {_TS} + INTERVAL 24 HOUR UNION ALL SELECT 'lag_24', 0"""))
+def _(s, sf):
+    """Features that do leak: each is caught on exactly the hours where it looks past the cutoff."""
+    def build(df):
+        return over_spans(df, H, lambda f: {f"lag_{k}": f.at("y", -k) for k in (1, 23, 24)}, back=24)
+    return models.leakage_probe(hf(s, sf), build, ["series_id", "ts"], TRAIN_END, 24 * 3600)

@@ -84,7 +84,10 @@ def asof_join(df: DataFrame, versions: DataFrame, grid: Grid, valid_from: str =
         raise ValueError(f"columns on both sides: {clash}")
 
     def span_of(c):
-        return floor_div(step_of(c, grid.step), span)
+        out = floor_div(step_of(c, grid.step), span)
+        for key in by:  # a NULL series key ends the query, as in Grid.step_index
+            out = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"NULL in series key {key}")).cast("long")).otherwise(out)
+        return out
 
     version = F.struct(*[F.col(f"`{c}`") for c in columns])
     left = df.select("*", ts.alias("_at"), F.lit(None).cast(versions.select(version.alias("v")).schema["v"].dataType).alias("_version"), F.lit(1).alias("_side"))
@@ -96,9 +99,7 @@ def asof_join(df: DataFrame, versions: DataFrame, grid: Grid, valid_from: str =
     seen = both.withColumn("_here", F.last("_version", ignorenulls=True).over(inside)).where("_side = 1")
     spans = both.groupBy(*by, "_span").agg(F.max_by("_version", F.when(F.col("_side") != 1, F.col("_at"))).alias("_last"))
     carried = with_carry(spans, grid, lambda before, after: {"_carry": F.last("_last", ignorenulls=True).over(before)}).drop("_last")
-    keys = {k: f"_c_{k}" for k in [*by, "_span"]}
-    other = carried.withColumnsRenamed(keys)
-    same = [seen[k].eqNullSafe(other[c]) for k, c in keys.items()]
     found = F.when(ts.isNotNull(), F.coalesce("_here", "_carry"))
-    return (seen.join(other, same, "left").withColumn("_found", found)
+    # Both sides lie by (series, span) already.
+    return (seen.join(carried, [*by, "_span"], "left").withColumn("_found", found)
             .select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("_found")[c].alias(c) for c in columns]))

@@ -144,8 +144,12 @@ class Forest:
         return join_groups(self.active, lists, self.keys, "left").withColumn("trees", F.coalesce("trees", none))
 
     def _current(self) -> DataFrame:
-        """Rows by trial with their residual `_g` before this round."""
-        held = self.model(self.round - self.since)
+        """Rows by trial with their predictions `_f` before this round.
+
+        The trees are written before they meet the rows: the planner then knows their size, and the rows are not moved to
+        them as long as it is small.
+        """
+        held = self.store(self.model(self.round - self.since))
         if self.state is None:
             joined = join_groups(self.rows, held, self.by)
             before = F.col("base")
@@ -169,7 +173,7 @@ class Forest:
                     splits = own[0]
                     for p in own[1:]:
                         splits = splits.unionByName(p)
-                    partial = self._maps(splits).drop("round")
+                    partial = self.store(self._maps(splits).drop("round"))
                     data = join_groups(data, partial, self.keys)
                     data = data.withColumn("node", _at(F.col("tree"), F.col("_bins"), level)["node"]).where(F.col("node") >= (1 << level))
                 else:
@@ -192,7 +196,7 @@ class Forest:
         splits = own[0]
         for p in own[1:]:
             splits = splits.unionByName(p)
-        data = join_groups(current.where("tau IS NOT NULL"), self._maps(splits).drop("round"), self.keys)
+        data = join_groups(current.where("tau IS NOT NULL"), self.store(self._maps(splits).drop("round")), self.keys)
         leaves = (data.withColumn("node", _at(F.col("tree"), F.col("_bins"), self.depth)["node"])
                   .groupBy(*self.keys, "node", "step", "level")
                   .agg(F.percentile_approx(F.col("_y") - F.col("_f"), F.array(*[F.lit(t) for t in self.taus]), LEAF_ACCURACY).alias("q"))
