@@ -237,10 +237,10 @@ def encode_sampled(docs: DataFrame, path: str | None = None, doc_id: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(path, sharpness)
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(len(keep))
             spaced = pa.compute.if_else(pa.compute.equal(pa.compute.fill_null(pa.compute.binary_length(texts), 0), 0), "",
                                         pa.compute.binary_join_element_wise(" ", pa.compute.fill_null(texts, ""), ""))
-            keys = np.array([(x or 0) & (2**64 - 1) for x in batch.column("_key").to_pylist()], np.uint64)
+            keys = np.array([(x or 0) & (2**64 - 1) for x in batch.column(len(keep) + 1).to_pylist()], np.uint64)
             for s in slices(spaced, SLICE):
                 m = s.last - s.first
                 starts, ends, doc = _pretokens(s)
@@ -258,12 +258,14 @@ def encode_sampled(docs: DataFrame, path: str | None = None, doc_id: str = "doc_
                 lists = list_array(flat, border)
                 null = texts.slice(s.first, m).is_null()
                 lists = pa.compute.if_else(null, pa.scalar(None, lists.type), lists)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [lists], [*keep, ids])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [lists], names)
 
-    kept = docs.select(*keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{ids}` array<int>"])
-    return docs.select(*keep, F.col(text).cast("string").alias("_text"),
-                       F.xxhash64(F.col(doc_id)).alias("_key")).mapInArrow(run, schema)
+    # Columns travel under names by position: no name of the input can clash, and none is parsed.
+    names = [*[f"c{k}" for k in range(len(keep))], "ids"]
+    kept = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + ["ids array<int>"])
+    return docs.select(*kept, F.col(f"`{text}`").cast("string").alias("t"),
+                       F.xxhash64(F.col(f"`{doc_id}`")).alias("k")).mapInArrow(run, schema).toDF(*keep, ids)
 
 
 def decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -276,7 +278,7 @@ def decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out: str
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                lists = part.column(ids)
+                lists = part.column(keep.index(ids))
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
                 border = np.concatenate([[0], np.cumsum(sizes)])
@@ -286,9 +288,9 @@ def decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out: str
                 cut = place[border]
                 texts = [None if null else data[a + 1:b].decode("utf-8") for a, b, null in zip(
                     cut[:-1].tolist(), cut[1:].tolist(), lists.is_null().to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(texts, pa.string())],
-                                                 [*keep, out])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [pa.array(texts, pa.string())], names)
 
-    kept = frame.select(*keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{out}` string"])
-    return kept.mapInArrow(run, schema)
+    names = [*[f"c{k}" for k in range(len(keep))], "decoded"]
+    kept = frame.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)])
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept.schema] + ["decoded string"])
+    return kept.mapInArrow(run, schema).toDF(*keep, out)

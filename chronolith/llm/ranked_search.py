@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from chronolith.llm.common import mix, signed, slices, span_hashes, stored
+from chronolith.llm.common import mix, slices, span_hashes, stored
 
 #: Least frequencies of the levels; a document's bound for a level uses the greatest frequency below the next one.
 LEVELS = (1, 2, 4, 16)

@@ -11,7 +11,6 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chronolith.llm import bpe_codec as bc, perfect_hash as ph, ranked_search as rs, spans, token_alignment as ta
@@ -247,3 +246,19 @@ def test_packing_ids_of_letters_that_decompose(spark):
     for r in packing.best_fit_packing(docs).where("piece = 0").collect():
         ids = (library.encode(values[r.doc_id] or "", add_special_tokens=False).ids + [0])[:2048]
         assert r.length == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()), values[r.doc_id]
+
+
+# --- 2, 4, 8: names of the input ------------------------------------------------------------
+
+def test_names_that_clash_or_hold_a_dot(spark):
+    from chronolith.llm import piece_sampling, quality_classifier, toxicity
+    docs = spark.createDataFrame([(k, f"some words of text {k} " * 5, "t", 1, 2.0, "k", "x") for k in range(30)],
+                                 "doc_id long, text string, _text string, _key int, `a.b` double, c0 string, keep0 string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(30)], "doc_id long, quality int, toxic int")
+    coded = piece_sampling.decode(piece_sampling.encode_sampled(docs))
+    assert coded.columns == [*docs.columns, "ids", "decoded"]
+    for r in coded.collect():
+        assert r.decoded == r.text and (r._text, r["_key"], r["a.b"], r.c0, r.keep0) == ("t", 1, 2.0, "k", "x")
+    for out in (toxicity.toxicity(docs, labels), quality_classifier.quality_classifier(docs, labels)):
+        assert out.columns[:7] == docs.columns
+        assert {(r["a.b"], r._text) for r in out.collect()} == {(2.0, "t")}
