@@ -28,8 +28,9 @@ FREQUENT = 1 << 18
 FOLD = 10
 ALPHA = 0.1
 END = 0
-#: Training sequences are cut after so many tokens; scores are computed over whole texts.
-SEGMENT = 512
+#: Training counts a long sequence in segments of so many tokens side by side, each read with so many tokens before and
+#: after it, which carry the forward and backward distributions over its borders; scores run over whole texts.
+SEGMENT, MARGIN = 512, 64
 BLOCK_TOKENS = 250_000
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += 32
@@ -75,16 +76,60 @@ def _by_length(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, len(length) - np.searchsorted(np.sort(length), np.arange(most), "right")
 
 
-def expected_counts(model: Model, flat: np.ndarray, begin: np.ndarray, length: np.ndarray):
-    """Expected starts, moves and emissions of some sequences (scaled forward and backward recursions)."""
-    order, alive = _by_length(length)
-    begin = begin[order]
-    move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
-    k = len(model.start)
+@dataclass
+class Stretches:
+    """Stretches of sequences: where each begins, its length, how many tokens come before those it counts, how many
+    it counts, and whether it begins where its sequence does."""
+
+    begin: np.ndarray
+    length: np.ndarray
+    lead: np.ndarray
+    core: np.ndarray
+    opening: np.ndarray
+
+    def __getitem__(self, which) -> "Stretches":
+        return Stretches(*(x[which] for x in (self.begin, self.length, self.lead, self.core, self.opening)))
+
+    def blocks(self, limit: int) -> Iterator["Stretches"]:
+        """Consecutive stretches, about `limit` tokens at a time."""
+        stop = np.cumsum(self.length)
+        a = 0
+        while a < len(stop):
+            b = max(a + 1, int(np.searchsorted(stop, (stop[a - 1] if a else 0) + limit, "right")))
+            yield self[a:b]
+            a = b
+
+
+def segments(border: np.ndarray) -> Stretches:
+    """Every token of the sequences is counted in one segment, and so is the move that leads to it."""
+    size = np.diff(border)
+    pieces = -(-size // SEGMENT)
+    which = np.repeat(np.arange(len(size)), pieces)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first, last = border[:-1][which], border[1:][which]
+    own = first + nth * SEGMENT
+    core = np.minimum(SEGMENT, last - own)
+    begin, end = np.maximum(first, own - MARGIN), np.minimum(last, own + core + MARGIN)
+    return Stretches(begin, end - begin, own - begin, core, begin == first)
+
+
+def expected_counts(model: Model, flat: np.ndarray, parts: Stretches):
+    """Expected starts, moves and emissions of what the stretches count (scaled forward and backward recursions).
+
+    A stretch that begins inside its sequence starts from the stationary distribution of the moves; its lead makes the
+    recursion forget that, and nothing of the lead is counted.
+    """
+    order, alive = _by_length(parts.length)
+    parts = parts[order]
+    begin, stop = parts.begin, parts.lead + parts.core
+    start, move, emit = (x.astype(np.float32) for x in (model.start, model.move, model.emit))
+    k = len(start)
+    rest = np.linalg.matrix_power(model.move, 64).mean(0).astype(np.float32)
+    whole = not parts.lead.any() and (parts.core == parts.length).all()
     alphas, scales = [], []
     for t, n in enumerate(alive):
         e = emit[flat[begin[:n] + t]]
-        a = e * (model.start.astype(np.float32) if t == 0 else alphas[-1][:n] @ move)
+        a = e * (np.where(parts.opening[:n, None], start, rest) if t == 0 else alphas[-1][:n] @ move)
         s = a.sum(1)
         a /= s[:, None]
         alphas.append(a)
@@ -94,18 +139,24 @@ def expected_counts(model: Model, flat: np.ndarray, begin: np.ndarray, length: n
     gamma = np.empty((int(alive.sum()), k), np.float32)
     seen = np.empty(len(gamma), flat.dtype)
     at = len(gamma)
+    counted = None
     for t in range(len(alive) - 1, -1, -1):
         n, own = alive[t], flat[begin[:alive[t]] + t]
         full = np.ones((n, k), np.float32)
         if len(beta):
             w = emit[flat[begin[:len(beta)] + t + 1]] * beta / scales[t + 1][:, None]
             full[:len(beta)] = w @ move.T
-            moves += move * (alphas[t][:len(beta)].T @ w)
+            moves += move * (alphas[t][:len(beta)].T @ (w if whole else w * counted))
         beta = full
-        gamma[at - n:at] = alphas[t] * beta
+        g = alphas[t] * beta
+        if not whole:
+            counted = ((parts.lead[:n] <= t) & (t < stop[:n]))[:, None].astype(np.float32)
+            g *= counted
+        gamma[at - n:at] = g
         seen[at - n:at] = own
         at -= n
     emitted = np.stack([np.bincount(seen, gamma[:, j], len(emit)) for j in range(k)], 1) if len(gamma) else np.zeros(emit.shape)
+    # Only a stretch without a lead counts its first token.
     return (gamma[:alive[0]].sum(0).astype(float) if len(alive) else np.zeros(k)), moves, emitted
 
 
@@ -125,16 +176,6 @@ def log10_likelihood(model: Model, flat: np.ndarray, begin: np.ndarray, length:
     return out
 
 
-def segments(border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and lengths of the pieces of SEGMENT tokens that sequences are cut into."""
-    size = np.diff(border)
-    pieces = -(-size // SEGMENT)
-    which = np.repeat(np.arange(len(size)), pieces)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = border[:-1][which] + nth * SEGMENT
-    return begin, np.minimum(SEGMENT, border[1:][which] - begin)
-
-
 # --- the jobs ----------------------------------------------------------------------
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +302,10 @@ def train(rows: DataFrame, share: np.ndarray, states: int = STATES, rounds: int
             m = shared.value
             start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(m.emit), states))
             for flat, border, _part in _sequences(batches, BLOCK_TOKENS):
-                begin, length = segments(border)
-                s, t, e = expected_counts(m, flat, begin, length)
-                start, move, emit = start + s, move + t, emit + e
+                for parts in segments(border).blocks(BLOCK_TOKENS):
+                    s, t, e = expected_counts(m, flat, parts)
+                    start, move = start + s, move + t
+                    emit += e
             # Ids below the classes carry the moves and, last, the starts.
             table = np.concatenate([emit, move, start[None]])
             used = np.flatnonzero(table.any(1))
@@ -284,12 +326,14 @@ def hmm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stat
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document row.
 
     Tokens are the words of the text and one end.  A null text is empty (one token); repeated rows get equal
-    rows; without training rows every word is unknown.  Word counts cover all training texts; the frequent
-    words are looked up where texts are read, the others are joined by word, where no key is hot any more.
+    rows; a null id is in the fold of the empty text; without training rows every word is unknown; an empty table
+    gives no rows.  Words of equal count are ranked by their hash.  Other columns are ignored, whatever their names.
+    Word counts cover all training texts; the frequent words are looked up where texts are read, the others are joined
+    by word, where no key is hot any more.  Of a very long text, training holds BLOCK_TOKENS tokens at a time.
     """
     spark = docs.sparkSession
-    read = docs.select(F.col(doc_id).alias("doc_id"), (crc_fold(doc_id, FOLD) == 0).alias("held_out"),
-                       F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    read = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (crc_fold(F.col(f"`{doc_id}`"), FOLD) == 0).alias("held_out"),
+                       F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     taught = read.where(~F.col("held_out"))
     counts, lexicon, share = learn_words(taught)
     rows = encode(read, spark.sparkContext.broadcast(lexicon), taught.count())

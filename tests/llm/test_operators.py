@@ -247,13 +247,82 @@ def test_forward_and_expectations_brute_force():
             for o, k in zip(s, path):
                 emitted[o, k] += p / total
     assert np.allclose(hm.log10_likelihood(m, flat, begin, length), logs, atol=1e-12)
-    for got, want in zip(hm.expected_counts(m, flat, begin, length), (starts, moves, emitted)):
+    for got, want in zip(hm.expected_counts(m, flat, hm.segments(np.append(begin, len(flat)))), (starts, moves, emitted)):
         assert np.allclose(got, want, atol=1e-4)
 
 
-def test_segments_cover_sequences():
-    begin, length = hm.segments(np.array([0, 3, 3, 3 + 2 * hm.SEGMENT + 1]))
-    assert length.tolist() == [3, hm.SEGMENT, hm.SEGMENT, 1] and begin.tolist() == [0, 3, 3 + hm.SEGMENT, 3 + 2 * hm.SEGMENT]
+def counts_in_segments(model, flat, border, limit=10**9):
+    total = None
+    for parts in hm.segments(border).blocks(limit):
+        found = hm.expected_counts(model, flat, parts)
+        total = found if total is None else tuple(a + b for a, b in zip(total, found))
+    return total
+
+
+@pytest.mark.parametrize("segment,margin,limit,apart", [(3, 1000, 10**9, 1e-4), (3, 1000, 1, 1e-4), (512, 64, 10**9, 1e-3), (512, 64, 700, 1e-3)])
+def test_segments_count_as_whole_sequences(monkeypatch, segment, margin, limit, apart):
+    r = np.random.Generator(np.random.PCG64(7))
+    sizes = np.array([0, 1, 3, 4, 60, 700, 1100]) if segment > 3 else np.array([0, 1, 2, 3, 4, 7, 31])
+    border = np.concatenate([[0], np.cumsum(sizes)])
+    flat = r.integers(0, 5, border[-1])
+    m = tiny_model()
+    monkeypatch.setattr(hm, "SEGMENT", 10**6)
+    whole = counts_in_segments(m, flat, border)
+    monkeypatch.setattr(hm, "SEGMENT", segment)
+    monkeypatch.setattr(hm, "MARGIN", margin)
+    parts = counts_in_segments(m, flat, border, limit)
+    for got, want in zip(parts, whole):
+        assert np.allclose(got, want, atol=apart, rtol=apart)
+    assert abs(parts[0].sum() - (sizes > 0).sum()) < 1e-3 and abs(parts[1].sum() - np.maximum(sizes - 1, 0).sum()) < 1e-2
+    assert abs(parts[2].sum() - sizes.sum()) < 1e-2
+
+
+@pytest.mark.parametrize("frequent", [4, 1 << 18])
+def test_hmm_score_brute_force(spark, edge, monkeypatch, frequent):
+    kept = {}
+    learn, train = hm.learn_words, hm.train
+    monkeypatch.setattr(hm, "FREQUENT", frequent)
+    monkeypatch.setattr(hm, "OWN_CLASSES", 3)
+    monkeypatch.setattr(hm, "SEGMENT", 3)
+    monkeypatch.setattr(hm, "learn_words", lambda d: kept.setdefault("words", learn(d)))
+    monkeypatch.setattr(hm, "train", lambda *a: kept.setdefault("model", train(*a)))
+    got = hm.hmm_scores(edge, states=2, rounds=2).collect()
+    counts, lexicon, _ = kept["words"]
+    n_of, m = {r.h: (r.n, r.cls) for r in counts.collect()}, kept["model"]
+    own = {int(h): int(c) for h, c in zip(lexicon.h, lexicon.cls) if c <= hm.OWN_CLASSES}
+
+    def score(text):
+        total, classes = 0.0, []
+        for w in words_of(text):
+            raw = np.frombuffer(w.encode(), np.uint8)
+            h = int(np.uint64(common.word_hash(w)).view(np.int64))
+            opened = int(hm.open_class(raw, np.array([0]), np.array([len(raw)]))[0])
+            if h in own:
+                classes.append(own[h])
+            else:
+                classes.append(1 + hm.OWN_CLASSES + opened)
+                total += np.log10((n_of.get(h, (0, 0))[0] + 0.1) / (lexicon.open_n[opened] + 0.1 * (lexicon.open_v[opened] + 1)))
+        a = m.start
+        for t, c in enumerate(classes + [hm.END]):
+            a = (a if t == 0 else a @ m.move) * m.emit[c]
+            total += np.log10(a.sum())
+            a = a / a.sum()
+        return total
+
+    key = lambda x: (repr(x[0]), round(x[1], 6))
+    want = sorted([(r.doc_id, score(r.text)) for r in edge.select("doc_id", "text").collect()], key=key)
+    mine = sorted([(r.doc_id, r.score) for r in got], key=key)
+    assert len(mine) == len(want)
+    for a, b in zip(mine, want):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 * max(1, abs(b[1]))
+
+
+def test_hmm_other_columns(spark):
+    rows = [(i, f"tok{i % 7} b c", "x", "y", "z") for i in range(30)] + [(None, None, None, None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, t string, held_out string, row string")
+    odd = plain.toDF("a.id", "a.text", "doc_id", "held_out", "seq")
+    want = sorted(map(repr, hm.hmm_scores(plain, states=2, rounds=1).collect()))
+    assert sorted(map(repr, hm.hmm_scores(odd, "a.id", "a.text", states=2, rounds=1).collect())) == want
 
 
 @pytest.mark.parametrize("frequent", [4, 1 << 18])
