@@ -125,7 +125,8 @@ def expected_counts(model: Model, flat: np.ndarray, parts: Stretches):
     start, move, emit = (x.astype(np.float32) for x in (model.start, model.move, model.emit))
     k = len(start)
     rest = np.linalg.matrix_power(model.move, 64).mean(0).astype(np.float32)
-    whole = not parts.lead.any() and (parts.core == parts.length).all()
+    # At steps in [low, high) every stretch that is still read counts its token.
+    low, high = parts.lead.max(initial=0), stop[stop < parts.length].min(initial=len(alive))
     alphas, scales = [], []
     for t, n in enumerate(alive):
         e = emit[flat[begin[:n] + t]]
@@ -146,11 +147,11 @@ def expected_counts(model: Model, flat: np.ndarray, parts: Stretches):
         if len(beta):
             w = emit[flat[begin[:len(beta)] + t + 1]] * beta / scales[t + 1][:, None]
             full[:len(beta)] = w @ move.T
-            moves += move * (alphas[t][:len(beta)].T @ (w if whole else w * counted))
+            moves += move * (alphas[t][:len(beta)].T @ (w if counted is None else w * counted))
         beta = full
         g = alphas[t] * beta
-        if not whole:
-            counted = ((parts.lead[:n] <= t) & (t < stop[:n]))[:, None].astype(np.float32)
+        counted = None if low <= t < high else ((parts.lead[:n] <= t) & (t < stop[:n]))[:, None].astype(np.float32)
+        if counted is not None:
             g *= counted
         gamma[at - n:at] = g
         seen[at - n:at] = own
@@ -302,7 +303,7 @@ def train(rows: DataFrame, share: np.ndarray, states: int = STATES, rounds: int
             m = shared.value
             start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(m.emit), states))
             for flat, border, _part in _sequences(batches, BLOCK_TOKENS):
-                for parts in segments(border).blocks(BLOCK_TOKENS):
+                for parts in segments(border).blocks(2 * BLOCK_TOKENS):
                     s, t, e = expected_counts(m, flat, parts)
                     start, move = start + s, move + t
                     emit += e
@@ -329,7 +330,7 @@ def hmm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stat
     rows; a null id is in the fold of the empty text; without training rows every word is unknown; an empty table
     gives no rows.  Words of equal count are ranked by their hash.  Other columns are ignored, whatever their names.
     Word counts cover all training texts; the frequent words are looked up where texts are read, the others are joined
-    by word, where no key is hot any more.  Of a very long text, training holds BLOCK_TOKENS tokens at a time.
+    by word, where no key is hot any more.  Of a very long text, training holds 2 * BLOCK_TOKENS tokens at a time.
     """
     spark = docs.sparkSession
     read = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (crc_fold(F.col(f"`{doc_id}`"), FOLD) == 0).alias("held_out"),
